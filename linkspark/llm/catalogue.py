@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import packing
+from linkspark.llm import html_text, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": packing.query}
+    return {
+        "op1_packing": packing.query,
+        "op3_quality": quality.query,
+        "op8_html": html_text.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
