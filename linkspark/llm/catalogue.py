@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import html_text, packing, quality
+from linkspark.llm import html_text, itq, langid, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.query,
         "op3_quality": quality.query,
+        "op4_itq": itq.query,
+        "op6_langid": langid.query,
         "op8_html": html_text.query,
     }
 
