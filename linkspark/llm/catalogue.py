@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import html_text, itq, langid, packing, quality
+from linkspark.llm import html_text, itq, langid, packing, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_itq": itq.query,
         "op6_langid": langid.query,
         "op8_html": html_text.query,
+        "op9_repeats": repeats.query,
     }
 
 
