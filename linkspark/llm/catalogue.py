@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import html_text, itq, langid, packing, quality, repeats
+from linkspark.llm import html_text, itq, langid, packing, quality, repeats, shingle_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_langid": langid.query,
         "op8_html": html_text.query,
         "op9_repeats": repeats.query,
+        "op10_shingle_join": shingle_join.query,
     }
 
 
