@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import html_text, itq, langid, packing, quality, repeats, shingle_join
+from linkspark.llm import backoff, html_text, itq, langid, packing, quality, repeats, shingle_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.query,
         "op3_quality": quality.query,
         "op4_itq": itq.query,
+        "op5_backoff": backoff.query,
         "op6_langid": langid.query,
         "op8_html": html_text.query,
         "op9_repeats": repeats.query,

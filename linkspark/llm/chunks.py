@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import common
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 CHUNKS = "chunk long, n_docs long, n_bytes long, ids binary, lengths binary, text binary, extra binary"
 
 
@@ -118,3 +118,23 @@ def word_hashes(names: pa.Array, salt: int = 0) -> np.ndarray:
 
 
 crc = zlib.crc32
+
+
+def pack_planes(values: np.ndarray) -> bytes:
+    """Compressed bytes of unsigned numbers, first bytes first."""
+    size = values.dtype.itemsize
+    return pack(np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T)
+
+
+def unpack_planes(blob: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(unpack(blob, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Compressed bytes of rising unsigned numbers."""
+    return pack_planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(blob: bytes, dtype) -> np.ndarray:
+    return np.cumsum(unpack_planes(blob, dtype), dtype=dtype)
