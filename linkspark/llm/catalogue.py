@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspark.llm import backoff, html_text, itq, langid, packing, quality, repeats, shingle_join
+import corpus_pipeline
+from linkspark.llm import backoff, html_text, itq, langid, mixing, packing, quality, repeats, shingle_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_itq": itq.query,
         "op5_backoff": backoff.query,
         "op6_langid": langid.query,
+        "op7_mixing": mixing.query,
         "op8_html": html_text.query,
         "op9_repeats": repeats.query,
         "op10_shingle_join": shingle_join.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

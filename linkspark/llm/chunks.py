@@ -36,22 +36,35 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], size, codec="zstd", asbytes=True) if size else b"", dtype)
 
 
-def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", extra: F.Column | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of the rows (null text: empty), written to the shared folder.  extra: a long carried for each row."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), (F.lit(0) if extra is None else extra).cast("long").alias("extra"))
+def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", extra: F.Column | None = None, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of the rows (null text: empty), written to the shared folder.  extra: a long carried for each row, or carry: columns kept as they are."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), (F.lit(0) if extra is None else extra).cast("long").alias("extra"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
         for batch in common.steps(batches, "text", chunk_bytes):
             offsets, data = common.bytes_of(batch.column("text"))
             ids = np.asarray(pc.fill_null(batch.column("id"), np.iinfo(np.int64).max))
-            row = [base + made, batch.num_rows, int(offsets[-1]), pack(ids), pack(np.diff(offsets)), pack(data), pack(np.asarray(batch.column("extra")))]
+            row = [base + made, batch.num_rows, int(offsets[-1]), pack(ids), pack(np.diff(offsets)), pack(data), serialize(batch, len(carry)) if carry else pack(np.asarray(batch.column("extra")))]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[x.split()[0] for x in CHUNKS.split(", ")])
             made += 1
 
     return common.materialize(rows.mapInArrow(run, CHUNKS))
 
 
+def serialize(batch: pa.RecordBatch, carried: int) -> bytes:
+    columns = batch.select([f"_{i}" for i in range(carried)])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, columns.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(columns)
+    return sink.getvalue().to_pybytes()
+
+
+def deserialize(blob: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(blob) as source:
+        return source.read_next_batch()
+
+
 class Chunk:
     """A chunk's rows: ids (null: the greatest long), starts of texts and the end, bytes."""
 
@@ -60,7 +73,11 @@ class Chunk:
         self.ids = unpack(row["ids"], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(unpack(row["lengths"], np.int64))])
         self.data = unpack(row["text"], np.uint8)
-        self.extra = unpack(row["extra"], np.int64)
+        self.blob = row["extra"]
+
+    @property
+    def extra(self) -> np.ndarray:
+        return unpack(self.blob, np.int64)
 
     def steps(self, limit: int) -> Iterator[tuple[int, int]]:
         """Ranges of rows with about `limit` bytes each."""

@@ -19,9 +19,36 @@ from pyspark.sql import functions as F
 STEP_BYTES = 6 << 20
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    import pathlib
+    import tempfile
+    import zipfile
+
+    top = pathlib.Path(__file__).resolve().parents[1]
+    target = pathlib.Path(tempfile.mkdtemp()) / f"{top.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, str(path.relative_to(top.parent)))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
+def tune(spark: SparkSession) -> None:
+    """Ready a session: executors get the package, and batches for Python workers are of few rows, as texts are long."""
+    _ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark so that any store works."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,14 +63,39 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "linkspark-shared")
 
 
+_written: list[str] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends there.  The files go when the session ends, or by `release`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where, store = _folder(spark, path)
+    store.deleteOnExit(where)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *still_read: DataFrame) -> None:
+    """Delete what `materialize` has written so far, unless one of these frames reads from it.  All other frames must have been written out."""
+    used = [x for df in still_read for x in df.inputFiles()]
+    kept = []
+    for path in _written:
+        name = path.rsplit("/", 1)[1]
+        if any(name in x for x in used):
+            kept.append(path)
+        else:
+            where, store = _folder(spark, path)
+            store.delete(where, True)
+    _written[:] = kept
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of the column as text, modulo mod (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

@@ -37,9 +37,11 @@ from linkspark.llm import common, suffix_array
 
 LENGTH = 50
 SEED = 26
-STEP = 3 << 20
+STEP = 3 << 19
+#: Surroundings that one suffix array holds, about.
+ROWS = 1 << 15
 NULL_ID = np.iinfo(np.int64).max
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,33 +134,44 @@ def classes(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return own, order[firsts], np.minimum.reduceat(ids[order], firsts) if len(rows) else ids
 
 
-def least_ids(rows: np.ndarray, ids: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """For each row (different surroundings, the least id of each) and offset, the least id whose surroundings hold the string there; NULL_ID where there is none."""
+def masks(rows: np.ndarray, ids: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For different surroundings and the least id of each: bits of the offsets at which a string starts, and of those whose string some smaller id has."""
     reach = length - seed
-    left, right = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    column = np.arange(reach + 1)
-    valid = (column >= reach - left[:, None]) & (column + length <= reach + right[:, None])
-    out = np.where(valid, ids[:, None], NULL_ID)
-    seeds = rolling_rows(rows, reach, seed)
-    _, group, size = np.unique(seeds, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(size[group] > 1)
-    if not len(several):
-        return out
-    some = rows[several].copy()
-    some[:, -2:] = 0
-    text = suffix_array.Text(some)
-    r, c = np.nonzero(valid[several])
-    order = text.order(r, c)
-    places = (r * text.stride + c)[order]
-    equal = text.same(places[1:], places[:-1], length)
-    firsts = np.flatnonzero(np.concatenate([[True], ~equal]))
-    who = ids[several][r[order]]
-    least = np.repeat(np.minimum.reduceat(who, firsts), np.diff(np.append(firsts, len(who))))
-    out[several[r[order]], c[order]] = least
-    return out
-
-
-def rolling_rows(rows: np.ndarray, at: int, seed: int) -> np.ndarray:
+    bits = np.uint32(1) << np.arange(reach + 1, dtype=np.uint32)
+    left, right = rows[:, -2].astype(np.int16), rows[:, -1].astype(np.int16)
+    column = np.arange(reach + 1, dtype=np.int16)
+    real = np.zeros(len(rows), np.uint32)
+    for k in range(reach + 1):
+        real |= np.where((column[k] >= reach - left) & (column[k] + length <= reach + right), bits[k], np.uint32(0))
+    taken = np.zeros(len(rows), np.uint32)
+    seeds = seed_keys(rows, reach, seed)
+    order = np.argsort(seeds, kind="stable")
+    firsts = np.flatnonzero(np.concatenate([[True], seeds[order][1:] != seeds[order][:-1]])) if len(rows) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(firsts, len(rows)))
+    order = order[np.repeat(sizes > 1, sizes)]  # one surrounding alone has nothing to be compared with
+    ends = np.cumsum(sizes[sizes > 1])
+    at = 0
+    while at < len(order):  # anchors together, with about ROWS surroundings
+        to = int(ends[min(np.searchsorted(ends, at + ROWS), len(ends) - 1)])
+        some = order[at:to]
+        own = rows[some].copy()
+        own[:, -2:] = 0
+        text = suffix_array.Text(own)
+        r, c = np.nonzero(real[some, None] & bits)
+        sorted_ = text.order(r, c)
+        r, c = r[sorted_], c[sorted_]
+        places = r * text.stride + c
+        runs = np.flatnonzero(np.concatenate([[True], ~text.same(places[1:], places[:-1], length)])) if len(places) else np.empty(0, np.int64)
+        who = ids[some][r]
+        if len(runs):
+            least = np.repeat(np.minimum.reduceat(who, runs), np.diff(np.append(runs, len(who))))
+            lower = least < who
+            taken[some] = np.bincount(r[lower], bits[c[lower]].astype(float), len(some)).astype(np.uint32)
+        at = to
+    return real, taken
+
+
+def seed_keys(rows: np.ndarray, at: int, seed: int) -> np.ndarray:
     key = np.zeros(len(rows), np.uint64)
     for k in range(0, seed, 8):
         k = min(k, seed - 8)
@@ -168,15 +181,19 @@ def rolling_rows(rows: np.ndarray, at: int, seed: int) -> np.ndarray:
 
 def covered(begins: np.ndarray, n: int, length: int) -> np.ndarray:
     """Flags of n bytes that strings from these places on cover."""
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, begins, 1)
-    np.add.at(change, np.minimum(begins + length, n), -1)
-    return np.cumsum(change[:n]) > 0
+    out = np.zeros(n, bool)
+    out[begins] = True
+    span = 1
+    while span < length:
+        more = min(span, length - span)
+        out[more:] = out[more:] | out[:-more]
+        span += more
+    return out
 
 
 def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(chunk, starts binary): int64 places of a chunk's bytes where a string starts that a smaller id has."""
-    assert 8 <= seed <= length <= 250 - (length - seed)
+    assert 8 <= seed <= length <= seed + 31 and length < 256
     reach = length - seed
     buckets = C.bucket_count(chunks, BUCKET_BYTES)
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
@@ -212,7 +229,7 @@ def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
                 for k in range(buckets):
                     own = slice(cuts[k], cuts[k + 1])
                     brief = tail(keys[own])
-                    rows.append((k, chunk.key, C.pack(np.diff(brief, prepend=np.uint32(0))), C.pack(np.packbits(several[own]))))
+                    rows.append((k, chunk.key, C.pack_sorted(brief), C.pack(np.packbits(several[own]))))
                 yield C.batch("bucket int, chunk long, hashes binary, several binary", rows)
 
     def tail(keys: np.ndarray) -> np.ndarray:
@@ -221,7 +238,7 @@ def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
 
     def shared(table: pa.Table) -> pa.Table:
         rows = list(C.rows_of(table))
-        hashes = [np.cumsum(C.unpack(x["hashes"], np.uint32), dtype=np.uint32) for x in rows]
+        hashes = [C.unpack_sorted(x["hashes"], np.uint32) for x in rows]
         several = [np.unpackbits(C.unpack(x["several"], np.uint8), count=len(h)).astype(bool) for x, h in zip(rows, hashes)]
         joined = np.concatenate(hashes)
         order = np.argsort(joined, kind="stable")
@@ -269,18 +286,17 @@ def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
         rows = np.concatenate([C.unpack(x["rows"], np.uint8).reshape(-1, width) for x in got])
         ids = np.concatenate([C.unpack(x["ids"], np.int64) for x in got])
         own, first, least = classes(rows, ids)
-        string_ids = least_ids(rows[first], least, length, seed)
+        real, taken = masks(rows[first], least, length, seed)
         begins = np.concatenate([[0], np.cumsum([len(C.unpack(x["ids"], np.int64)) for x in got])])
-        offsets = np.arange(reach + 1) - reach
         out = []
         for k, x in enumerate(got):
-            mine = own[begins[k] : begins[k + 1]]
-            taken = string_ids[mine] < ids[begins[k] : begins[k + 1], None]
-            real = string_ids[mine] < NULL_ID
+            span = slice(begins[k], begins[k + 1])
+            mine = own[span]
+            here = np.where(ids[span] > least[mine], real[mine], taken[mine])
             place = C.unpack(x["places"], np.uint32).astype(np.int64)
             cls = C.unpack(x["own"], np.uint32)
-            flags = np.where(C.unpack(x["later"], bool)[:, None], real[cls], taken[cls])
-            starts = np.unique((place[:, None] + offsets)[flags])
+            flags = np.where(C.unpack(x["later"], bool), real[mine][cls], here[cls])
+            starts = np.unique(np.concatenate([place[flags >> np.uint32(o) & np.uint32(1) > 0] + (o - reach) for o in range(reach + 1)]))
             out.append((x["chunk"], C.pack(np.diff(starts, prepend=0).astype(np.uint32))))
         return pa.Table.from_batches([C.batch("chunk long, starts binary", out)])
 
@@ -291,11 +307,8 @@ def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
 
 
 def removed_flags(chunk: C.Chunk, answers: pa.Table, length: int) -> np.ndarray:
-    out = np.zeros(len(chunk.data), bool)
-    for x in C.rows_of(answers):
-        begins = np.cumsum(C.unpack(x["starts"], np.uint32).astype(np.int64))
-        out |= covered(begins, len(out), length)
-    return out
+    begins = [np.cumsum(C.unpack(x["starts"], np.uint32).astype(np.int64)) for x in C.rows_of(answers)]
+    return covered(np.concatenate(begins) if begins else np.empty(0, np.int64), len(chunk.data), length)
 
 
 def digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -327,11 +340,15 @@ def digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: s
 def strip(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs with what is left of their texts, all other columns as they are.
 
-    Where a removed run splits a character, the character's remaining bytes go too.
-    Rows are told apart by a number of their own, kept with the rows in the shared folder.
+    Where a removed run splits a character, the character's remaining bytes go too.  A null text stays null.
     """
-    numbered = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    chunks = C.chunked(numbered, id_column, text_column, F.col("_row"))
+    names = docs.columns
+    others = tuple(c for c in names if c != text_column)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    number = {c: f"c{i}" for i, c in enumerate(names)}
+    carried = plain.withColumn("_null", F.col(number[text_column]).isNull())
+    chunks = C.chunked(carried, number[id_column], number[text_column], carry=(*[number[c] for c in others], "_null"))
+    schema = [plain.schema[number[c]] for c in others]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -339,16 +356,20 @@ def strip(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: st
             chunk = C.Chunk(row)
             gone = removed_flags(chunk, right, length)
             counts = common.row_sums(gone.astype(np.int64), chunk.starts)
-            for i in np.flatnonzero(counts):
-                a, b = chunk.starts[i], chunk.starts[i + 1]
-                out.append((int(chunk.extra[i]), chunk.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore")))
-        return pa.Table.from_batches([C.batch("_row long, _left string", out)])
-
+            texts = []
+            for i, (a, b) in enumerate(zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist())):
+                own = chunk.data[a:b]
+                texts.append((own[~gone[a:b]] if counts[i] else own).tobytes().decode("utf-8", "ignore"))
+            kept = C.deserialize(chunk.blob)
+            null = np.asarray(kept.column(len(others)).fill_null(False))
+            columns = [*kept.columns[: len(others)], pa.array(texts, pa.string(), mask=null)]
+            out.append(pa.RecordBatch.from_arrays(columns, names=[*[number[c] for c in others], "_left"]))
+        return pa.Table.from_batches(out)
+
+    inner = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     found = find(chunks, length, seed)
-    left = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, "_row long, _left string")
-    joined = numbered.join(left, "_row", "left")
-    text = F.coalesce("_left", F.col(text_column))
-    return joined.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+    done = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, f"{inner}, _left string")
+    return done.select(*[F.col("_left").alias(c) if c == text_column else F.col(number[c]).alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,11 +169,11 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
                 counts = np.minimum(np.diff(np.append(at, len(keys))), 255).astype(np.uint8)
                 keys = keys[at]
                 cuts = C.split(keys, buckets)
-                yield C.batch("bucket int, chunk long, hashes binary, counts binary", [(k, chunk.key, C.pack(np.diff(tail(keys[cuts[k] : cuts[k + 1]]), prepend=np.uint32(0))), C.pack(counts[cuts[k] : cuts[k + 1]])) for k in range(buckets)])
+                yield C.batch("bucket int, chunk long, hashes binary, counts binary", [(k, chunk.key, C.pack_sorted(tail(keys[cuts[k] : cuts[k + 1]])), C.pack(counts[cuts[k] : cuts[k + 1]])) for k in range(buckets)])
 
     def classify(table: pa.Table) -> pa.Table:
         rows = list(C.rows_of(table))
-        hashes = [np.cumsum(C.unpack(x["hashes"], np.uint32), dtype=np.uint32) for x in rows]
+        hashes = [C.unpack_sorted(x["hashes"], np.uint32) for x in rows]
         counts = np.concatenate([C.unpack(x["counts"], np.uint8) for x in rows]).astype(np.int64)
         joined = np.concatenate(hashes)
         order = np.argsort(joined, kind="stable")
