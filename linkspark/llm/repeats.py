@@ -98,7 +98,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, seed: int) -> tup
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     high = sliding(padded, width, False)[: len(h)]
     at = np.flatnonzero(high == h)
-    return at, h[at]
+    return at, C.mix(h[at] + FACTOR)  # mixed again, as least hashes are small numbers and would share a bucket
 
 
 def surroundings(data: np.ndarray, starts: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
