@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from linkspark.llm import backoff, html_text, itq, langid, mixing, packing, quality, repeats, shingle_join
+from linkspark.llm import backoff, html_text, itq, langid, licences, mixing, packing, quality, repeats, shingle_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.query,
+        "op2_licences": licences.query,
         "op3_quality": quality.query,
         "op4_itq": itq.query,
         "op5_backoff": backoff.query,
