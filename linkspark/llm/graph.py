@@ -7,6 +7,7 @@ gathered in one place: minima are pre-aggregated and the joins may be split by k
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("dst").alias("id"), F.col("dst").alias("component_id")).distinct()
     return now.select(F.col("src").alias("id"), F.col("dst").alias("component_id")).union(roots)
+
+
+def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Flags of links (ids) that join trees not joined before."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = parent[y] if y in parent else y
+            x = parent[x]
+        return x
+
+    out = np.zeros(len(left), bool)
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            out[i] = True
+    return out

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import common, graph
+from linkspark.llm.graph import forest
 
 THRESHOLD = 0.93
 SAMPLE = 20_000
@@ -84,25 +85,6 @@ def substrings(unit: np.ndarray, mean: np.ndarray, turns: np.ndarray, bits: int,
     return out
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Flags of links (ids) that join trees not joined before."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := parent.setdefault(x, x)) != x:
-            parent[x] = parent[y] if y in parent else y
-            x = parent[x]
-        return x
-
-    out = np.zeros(len(left), bool)
-    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out[i] = True
-    return out
-
-
 def compare(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, keys: np.ndarray, table: int, threshold: float, first: np.ndarray, second: np.ndarray, block: int = 512) -> tuple[list, list]:
     """Links between rows `first` and `second` (the same rows, or none in common) that no earlier table has: (id, partners' number), (id, id)."""
     counts: list[tuple[np.ndarray, np.ndarray]] = []

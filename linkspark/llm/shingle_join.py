@@ -11,10 +11,12 @@ carry a band of sizes; bands whose prefix is longer than ``pair_prefix`` index f
 tokens one by one, as their pairs would be too many.
 
 Documents with equal sets are one class.  Of the classes under a key, first a leader is
-compared with the others, in `STARS` rounds with another leader each; what then still
-lies in different components under a common key is compared pair by pair.  So a group
-of near copies costs about its size, and no link between different texts is missed.
-Pairs are verified with the whole sets.
+compared with the others, in `STARS` rounds with another leader each.  What then still
+lies in different components under a common key falls into clusters by such keys.  A
+cluster with few pairs is compared pair by pair, one with many (of near copies that are
+not all near each other) by matrix products of blocks, which return a spanning forest of
+the links.  No link between different texts is missed.  Pairs are verified with the
+whole sets.
 
 A shingle's identity is a 64-bit hash of its words.
 
@@ -36,12 +38,15 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import chunks as C
 from linkspark.llm import common, graph
+from linkspark.llm.graph import forest
 
 WIDTH = 4
 THRESHOLD = (85, 100)
 FREQUENT = 64
 PAIR_PREFIX = 24
 STARS = 2
+#: Sets that a task compares with as many others.
+BLOCK = 256
 STEP = 4 << 20
 BUCKET_BYTES = 12 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -140,6 +145,46 @@ def verified(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFr
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def overlaps(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of blocks of the incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    times = np.bincount(token)
+    owner, token = owner[times[token] > 1], (np.cumsum(times > 1) - 1)[token[times[token] > 1]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, columns):
+        a, b = np.searchsorted(token, [at, at + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[a:b], token[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def in_blocks(members: DataFrame, sets: DataFrame, over: int, under: int, block: int) -> DataFrame:
+    """Links (a, b) among the members (cluster, id, m: their number) of clusters, enough of them to span what they join.
+
+    A cluster's members are dealt to shards of `block`; a task compares two shards by a matrix product.
+    """
+    shards = F.ceil(F.col("m") / block).cast("int")
+    own = members.withColumn("shards", shards).withColumn("own", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    own = own.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    own = own.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "tokens")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = np.asarray(table.column("id").combine_chunks())
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+        sizes = np.array([len(x) for x in own])
+        both = overlaps(own)
+        near = np.triu(under * both >= over * (sizes[:, None] + sizes[None, :] - both), 1)
+        i, j = np.nonzero(near)
+        tree = forest(ids[i], ids[j])
+        return pa.table({"a": pa.array(ids[i[tree]], pa.int64()), "b": pa.array(ids[j[tree]], pa.int64())})
+
+    return own.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, pair_prefix: int = PAIR_PREFIX, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row.  threshold: a fraction (over, under)."""
     over, under = threshold
@@ -234,19 +279,32 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
         return own.join(apart, "key", "left_semi")
 
     links, comp = None, None
-    for k in range(STARS + 1):
-        open_ = cross(comp)
-        if k < STARS:
-            pick = F.struct((F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("order"), F.col("id"), F.col("comp"))
-            leader = open_.groupBy("key").agg(F.min(pick).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.comp").alias("ca"))
-            pairs = open_.join(leader, "key").filter("comp <> ca").select("a", F.col("id").alias("b"))
-        else:
-            left = open_.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
-            pairs = open_.join(left, "key").filter("ca <> comp and a < id").select("a", F.col("id").alias("b"))
-        pairs = pairs.distinct()
-        found = common.materialize(verified(pairs, sets, over, under).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, comp
+        found = common.materialize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         links = found if links is None else links.union(found)
         comp = graph.components(links)
+
+    def led(open_: DataFrame, order: F.Column) -> DataFrame:
+        """The first id of each key with the others of other components."""
+        pick = F.struct(order.alias("order"), F.col("id"), F.col("comp"))
+        leader = open_.groupBy("key").agg(F.min(pick).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.comp").alias("ca"))
+        return open_.join(leader, "key").filter("comp <> ca").select("a", F.col("id").alias("b")).distinct()
+
+    for k in range(STARS):
+        add(verified(led(cross(comp), F.xxhash64("id", F.lit(k))), sets, over, under))
+    open_ = common.materialize(cross(comp))
+    clusters = graph.components(led(open_, F.col("id")).select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component_id", "cluster")
+    placed = open_.join(clusters, "id")
+    pairs_at_most = placed.groupBy("cluster", "key").agg(F.count("*").cast("double").alias("n")).groupBy("cluster").agg(F.sum(F.col("n") * F.col("n") / 2).alias("pairs"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m")).join(pairs_at_most, "cluster")
+    sizes = common.materialize(sizes.withColumn("dense", F.col("pairs") > F.col("m") * F.ceil(F.col("m") / BLOCK)))
+    dense = clusters.join(sizes.filter("dense"), "cluster").select("cluster", "id", "m")
+    sparse = placed.join(sizes.filter("not dense"), "cluster").select("key", "id", "comp")
+    left = sparse.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
+    pairs = sparse.join(left, "key").filter("ca <> comp and a < id").select("a", F.col("id").alias("b")).distinct()
+    add(verified(pairs, sets, over, under).union(in_blocks(dense, sets, over, under, BLOCK)))
     whole = classes.join(comp, classes["rep"] == comp["id"], "left").select("n", "s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
     out = some.join(whole, ["n", "s1", "s2"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.filter("n = 0 or id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
