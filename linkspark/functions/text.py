@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that stand for others, and legal suffixes.
 REPLACEMENTS = {"svc": "service", "svcs": "services", "equip": "equipment", "mfg": "manufacturing", "dist": "distribution"}
@@ -63,7 +64,7 @@ def normalize_name(column: Column, words: dict[str, str] = REPLACEMENTS, suffixe
     return F.when(out == "", UNKNOWN).otherwise(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()))
 
