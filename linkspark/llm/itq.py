@@ -135,7 +135,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
             lengths = np.asarray(batch.column("v").value_lengths())
             for n in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == n))
-                own = substrings(_unit(part.column("v")), mean, turns, bits, tables) if n == dim else np.full((part.num_rows, 1), -n)
+                own = substrings(_unit(part.column("v")), mean, turns, bits, tables) if n == dim else np.full((part.num_rows, 1), -int(n), np.int64)
                 for at in range(0, part.num_rows, 256):  # a table's worth of copies at a time
                     some = part.slice(at, 256)
                     k = own.shape[1]
