@@ -44,12 +44,12 @@ def test_entry(spark):
 
 
 def test_quick_start(spark):
-    from linkspark.plans.resolver import EntityResolver
+    from linkspark.plans.resolver import Linker
     from linkspark.sources.store import Columns, Config
 
     data = [(1, "Acme Corp", "123 Main St, Chicago, IL 60601"), (2, "ACME Corporation", "123 Main St, Chicago, Illinois 60601"), (3, "Acme Corp.", ""), (4, "TechStart Inc", "456 Oak Ave, Hoffman Estates, IL 60169"), (5, "Tech Start LLC", "456 Oak Ave, Hoffman Estates, IL 60169")]
     df = spark.createDataFrame(data, "record_id long, company_name string, address string")
-    model = EntityResolver(Config(columns=Columns("company_name", ("address",))))
+    model = Linker(Config(columns=Columns("company_name", ("address",))))
     got = {r["record_id"]: r["cluster"] for r in model.fit_transform(df).collect()}
     assert len({got[1], got[2], got[3]}) == 1 and got[4] == got[5] != got[1]
     with pytest.raises(KeyError):
