@@ -185,7 +185,7 @@ def purity_map(labels: DataFrame, purity: float = 0.75, overlap: int = 3) -> Dat
 
 def rescue(labels: DataFrame, mapping: DataFrame, probability: float = 0.60) -> DataFrame:
     """(id, cluster, probability): noise of hdb in a mapped group takes the group's cluster."""
-    joined = labels.join(F.broadcast(mapping.select("snn", F.col("hdb").alias("to"))), "snn", "left")
+    joined = labels.join(mapping.select("snn", F.col("hdb").alias("to")), "snn", "left")
     saved = (F.col("hdb") == NOISE) & F.col("to").isNotNull()
     return joined.select("id", F.when(saved, F.col("to")).otherwise(F.col("hdb")).alias("cluster"), F.when(saved, probability).otherwise(F.col("prob")).alias("probability"), "snn", "hdb")
 
