@@ -101,6 +101,19 @@ def crc_mod(column: str, mod: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
 
 
+def sampled(rows: DataFrame, n: int, id_column: str = "id", total: int | None = None) -> DataFrame:
+    """The n rows of least hash of their id (all, if there are fewer).
+
+    Rows far above the n-th hash are filtered out first, so few rows are ever sorted
+    or sent, however many tasks there are.
+    """
+    total = rows.count() if total is None else total
+    ways = 1 << 40
+    place = F.pmod(F.xxhash64(id_column), F.lit(ways))
+    share = min(1.0, (2 * n + 100) / max(total, 1))
+    return rows.filter(place <= int(share * ways)).orderBy(place, id_column).limit(n)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Regroup batches so that each holds about `limit` bytes of `column`."""
     held: list[pa.RecordBatch] = []

@@ -126,7 +126,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
     classes = common.materialize(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")))
     total, dim = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").select("n", "dim").first() or (0, 1)
     bits, tables = plan(total, dim, threshold, miss)
-    picked = classes.filter(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").select("v").limit(sample).toArrow().column("v").combine_chunks()
+    picked = common.sampled(classes.filter(F.size("v") == dim), sample, "id", total).select("v").toArrow().column("v").combine_chunks()
     picked = picked.chunk(0) if isinstance(picked, pa.ChunkedArray) and picked.num_chunks else picked
     mean, turns = rotations(_unit(picked) if len(picked) else np.empty((0, dim)), math.ceil(tables / (dim // bits)))
 

@@ -180,7 +180,7 @@ def similarity(paragraph: list[str], template: list[str]) -> float:
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample: int = SAMPLE, least: float = LEAST, shared: float = SHARED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: id, n_paragraphs, and findings: (paragraph from 0, family, probability, similarity, confirmed, text)."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    lines = rows.filter("text is not null").orderBy(F.xxhash64("id"), "id").limit(sample // 4).select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line")).filter("length(line) between 1 and 2000")
+    lines = common.sampled(rows, sample // 4).filter("text is not null").select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line")).filter("length(line) between 1 and 2000")
     negatives = [r["line"] for r in lines.collect()]
     speaks = re.compile(r"licen[sc]e|copyright|public domain|creative commons", re.I)
     model = train(templates, OTHERS * 4 + [x for x in negatives if not speaks.search(x)])
