@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         least = edges.groupBy("src").agg(F.min("dst").alias("least"))
         moved = edges.join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
         moved = moved.union(least.select("src", F.col("least").alias("dst")))
-    return moved.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    moved = moved.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    return moved if large else moved.distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,16 +34,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Loops, repeated edges, either order and nulls (skipped) are fine; no edges give no rows.
     """
     now = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    state_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
     now = common.materialize(now)
-    before = None
-    for _ in range(max_rounds):
+    before = state_of(now)
+    for _ in range(max_rounds if before[0] else 0):
         now = common.materialize(_star(_star(now, True), False))
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        state = state_of(now)
         if state == before:
             break
         before = state
     else:
-        raise RuntimeError("the components did not settle")
+        if before[0]:
+            raise RuntimeError("the components did not settle")
     roots = now.select(F.col("dst").alias("id"), F.col("dst").alias("component_id")).distinct()
     return now.select(F.col("src").alias("id"), F.col("dst").alias("component_id")).union(roots)
 
