@@ -101,7 +101,7 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> Classifier:
     """Train on documents with labels.  The driver gets words of the lexicons and counts of bins only."""
     picked = labels.select(F.col(id_column).alias("id"), domain.alias("domain")).filter(F.col("domain").isin(domains) & F.col("id").isNotNull())
-    picked = picked.orderBy(F.xxhash64("id"), "id", "domain").limit(sample)
+    picked = common.sampled(picked, sample)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "id")
     rows = common.materialize(rows.select("id", "domain", "text"))
     found = rows.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).filter("word <> ''")
@@ -181,27 +181,34 @@ def copies(rate_: Column, id_: Column) -> Column:
     return F.floor(rate_ + part).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> tuple[Classifier, list[list[float]], DataFrame]:
-    """(classifier, steps, rows): rows have id, tokens, posterior, rate, copies, written to the shared folder once measured."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> tuple[Classifier, DataFrame, DataFrame]:
+    """(classifier, rates, rows).
+
+    rates has a row for each combination of bins that occurs (at most a few hundred, by
+    the numbers of bins): bins, tokens, posterior, rate.  rows have id, tokens, posterior,
+    rate and copies, measured once and written to the shared folder.
+    """
     domains = list(targets)
     model = fit(docs, labels, domains, domain_of() if domain is None else domain, sample, id_column, text_column)
     text = F.col(text_column)
     bins = model.features(text)
-    measured = common.materialize(docs.select(F.col(id_column).alias("id"), tokens_of(text).alias("tokens"), *[c.alias(n) for n, c in bins.items()]))
-    totals = common.materialize(measured.groupBy(*bins).agg(F.sum("tokens").alias("tokens")).select(model.posteriors(bins).alias("posterior"), "tokens"))
+    measured = common.materialize(docs.select(F.col(id_column).alias("id"), tokens_of(text).alias("words"), *[c.alias(n) for n, c in bins.items()]))
+    totals = common.materialize(measured.groupBy(*bins).agg(F.sum("words").alias("tokens")).withColumn("posterior", model.posteriors(bins)))
     history = solve(totals, [targets[d] / sum(targets.values()) for d in domains])
-    rows = measured.select("id", "tokens", model.posteriors(bins).alias("posterior")).withColumn("rate", rate(F.col("posterior"), history))
-    return model, history, rows.withColumn("copies", copies(F.col("rate"), F.col("id")))
+    rates = common.materialize(totals.withColumn("rate", rate(F.col("posterior"), history)))
+    found = measured.join(F.broadcast(rates.drop("tokens")), list(bins))
+    rows = found.select("id", F.col("words").alias("tokens"), "posterior", "rate", copies(F.col("rate"), F.col("id")).alias("copies"))
+    return model, rates, rows
 
 
 def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, each as often as its copies say."""
-    model, history, _ = mix(docs, labels, targets, domain, sample, id_column, text_column)
+    model, rates, _ = mix(docs, labels, targets, domain, sample, id_column, text_column)
     bins = model.features(F.col(text_column))
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_column).alias("_id"), *[c.alias(n) for n, c in bins.items()])
-    number = copies(rate(model.posteriors(bins), history), F.col("_id"))
-    often = own.withColumn("_n", number).filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    rated = own.join(F.broadcast(rates.select(*bins, "rate")), list(bins)).select("_row", copies(F.col("rate"), F.col("_id")).alias("_n"))
+    often = rated.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     return often.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
