@@ -295,7 +295,9 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     for k in range(STARS):
         add(verified(led(cross(comp), F.xxhash64("id", F.lit(k))), sets, over, under))
     open_ = common.materialize(cross(comp))
-    clusters = graph.components(led(open_, F.col("id")).select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component_id", "cluster")
+    # every id of an open key is placed, those of its leader's component too: they may be near the others where the leader is not
+    least = open_.groupBy("key").agg(F.min("id").alias("src"))
+    clusters = graph.components(open_.join(least, "key").select("src", F.col("id").alias("dst")).distinct()).withColumnRenamed("component_id", "cluster")
     placed = open_.join(clusters, "id")
     pairs_at_most = placed.groupBy("cluster", "key").agg(F.count("*").cast("double").alias("n")).groupBy("cluster").agg(F.sum(F.col("n") * F.col("n") / 2).alias("pairs"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m")).join(pairs_at_most, "cluster")

@@ -323,6 +323,31 @@ def test_dense_clusters(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(60)] == root
 
 
+@pytest.mark.parametrize("dense", [False, True])
+def test_chains_of_near_copies(spark, monkeypatch, dense):
+    monkeypatch.setattr(shingle_join, "BLOCK", 4 if dense else 1 << 20)
+    rng = random.Random(7)
+    sets = []
+    for chain in range(60):
+        line = [f"c{chain}w{rng.random()}" for _ in range(250)]
+        for k in range(20):  # each is near those one or two steps away only
+            sets.append((line, k))
+    rng.shuffle(sets)
+    texts_ = [" ".join(line[4 * k : 4 * k + 100]) for line, k in sets]
+    grams = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts_)]
+    root = list(range(len(sets)))
+    chains = collections.defaultdict(list)
+    for i, (line, _) in enumerate(sets):
+        chains[line[0]].append(i)
+    near = [(i, j) for own in chains.values() for i in own for j in own if i < j and 100 * len(grams[i] & grams[j]) >= 85 * len(grams[i] | grams[j])]
+    for _ in range(20):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    rows = list(enumerate(texts_))
+    got = by_id(shingle_join.link(spark.createDataFrame(rows, "doc_id long, text string"), frequent=4))
+    assert [got[i]["component_id"] for i in range(len(rows))] == root
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
