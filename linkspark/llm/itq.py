@@ -7,10 +7,13 @@ give as many bits as the tables need.  The sample only shapes the codes: all vec
 indexed.
 
 Retrieve: the codes are cut into substrings, one hash table for each (multi-index
-Hamming).  Two vectors meet if a substring is equal.  With angle t between them each bit
-differs with probability t/pi, so the number of tables is chosen for a miss rate of at
-most ``miss`` at the threshold itself; pairs above it are missed far less often.  The
-substrings grow with the logarithm of the number of vectors, so buckets stay small.
+Hamming).  Two vectors meet if a substring is equal.  Bits are signs of the vectors
+themselves, not of the centred ones: with angle t between two of them each bit differs
+with probability about t/pi wherever they lie, so the number of tables is chosen for a
+miss rate of ``miss`` at the threshold itself; pairs above it are missed far less often.
+Centring would widen the angles of vectors with a common direction and lose links.  The
+substrings grow with the logarithm of the number of vectors, so buckets stay small
+unless vectors share a direction; then buckets are larger and cost more comparisons.
 
 Rerank: members of a bucket are compared by cosine of the original vectors in double
 precision, in blocks.  A pair that meets in several tables counts in the first.  Buckets
@@ -47,8 +50,8 @@ SHARD = 2048
 BUCKET = 64  # vectors that a bucket should hold on average, at most
 
 
-def rotations(sample: np.ndarray, count: int, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections: count x dim x dim) from vectors of unit length."""
+def rotations(sample: np.ndarray, count: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
+    """Projections (count x dim x dim) from vectors of unit length."""
     mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
     centred = sample - mean
     axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
@@ -61,7 +64,7 @@ def rotations(sample: np.ndarray, count: int, rounds: int = ROUNDS, seed: int =
             left, _, right = np.linalg.svd(codes.T @ turned)
             q = right.T @ left.T
         out.append(axes @ q)
-    return mean, np.stack(out)
+    return np.stack(out)
 
 
 def plan(vectors: int, dim: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -72,14 +75,14 @@ def plan(vectors: int, dim: int, threshold: float, miss: float) -> tuple[int, in
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
 
-def substrings(unit: np.ndarray, mean: np.ndarray, turns: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def substrings(unit: np.ndarray, turns: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Keys of each vector in each table."""
     per_turn = turns.shape[2] // bits
     out = np.empty((len(unit), tables), np.int64)
     weights = 1 << np.arange(bits)
     for k in range(tables):
         if k % per_turn == 0:
-            signs = (unit - mean) @ turns[k // per_turn] >= 0
+            signs = unit @ turns[k // per_turn] >= 0
         at = (k % per_turn) * bits
         out[:, k] = signs[:, at : at + bits] @ weights
     return out
@@ -128,14 +131,14 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
     bits, tables = plan(total, dim, threshold, miss)
     picked = common.sampled(classes.filter(F.size("v") == dim), sample, "id", total).select("v").toArrow().column("v").combine_chunks()
     picked = picked.chunk(0) if isinstance(picked, pa.ChunkedArray) and picked.num_chunks else picked
-    mean, turns = rotations(_unit(picked) if len(picked) else np.empty((0, dim)), math.ceil(tables / (dim // bits)))
+    turns = rotations(_unit(picked) if len(picked) else np.empty((0, dim)), math.ceil(tables / (dim // bits)))
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.asarray(batch.column("v").value_lengths())
             for n in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == n))
-                own = substrings(_unit(part.column("v")), mean, turns, bits, tables) if n == dim else np.full((part.num_rows, 1), -int(n), np.int64)
+                own = substrings(_unit(part.column("v")), turns, bits, tables) if n == dim else np.full((part.num_rows, 1), -int(n), np.int64)
                 for at in range(0, part.num_rows, 256):  # a table's worth of copies at a time
                     some = part.slice(at, 256)
                     k = own.shape[1]
@@ -188,7 +191,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
                 continue
             _, table, key, low, high = names[a]
             unit = _unit(col("v").slice(a, b - a))
-            keys = substrings(unit, mean, turns, bits, table) if table and key >= 0 and lengths[a] == dim else None
+            keys = substrings(unit, turns, bits, table) if table and key >= 0 and lengths[a] == dim else None
             first = np.flatnonzero(own[a:b] == low)
             second = first if low == high else np.flatnonzero(own[a:b] == high)
             c, x = compare(ids[a:b], sizes[a:b], unit, keys, table, threshold, first, second)

@@ -141,6 +141,21 @@ def test_itq(spark):
     assert itq.link(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("offset", [0.0, 1.5])
+@pytest.mark.parametrize("vectors", [20_000, 1_000_000])
+def test_itq_recall_with_a_common_direction(offset, vectors):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 64)) / 8 + offset * np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    bits, tables = itq.plan(vectors, 64, itq.THRESHOLD, itq.MISS)
+    turns = itq.rotations(x, math.ceil(tables / (64 // bits)))
+    met = (itq.substrings(x, turns, bits, tables) == itq.substrings(y, turns, bits, tables)).any(1)
+    assert met.mean() >= 0.99
+
+
 def test_backoff(docs, texts):
     got = by_id(backoff.score(docs, common.crc_mod("doc_id", 7) == 2))
     tokens = [["<s>", *words(x), "</s>"] for x in texts]
