@@ -5,7 +5,8 @@ A public vocabulary with byte fallback splits each word of a text.  Its tokens g
   fallback_share    tokens that stand for single bytes / tokens
   token_entropy     bits, of the text's token distribution
 A text is kept if it passes the base rules and all three lie in the band of the
-script that most of its letters belong to.  The bands are parameters; the defaults
+script that most of its letters belong to.  As n tokens hold log2(n) bits at most, a
+short text need only have a share of these where that is less than the band's entropy.  The bands are parameters; the defaults
 are wide enough for written prose and turn away symbol runs, encoded data,
 scripts that the vocabulary can't read and texts that say little again and again.
 
@@ -32,6 +33,8 @@ from linkspark.llm import common
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
+#: Share of log2(tokens) that is enough entropy for a short text.
+ENTROPY_SHARE = 0.72
 #: script: least and most characters per token, most fallback share, least token entropy in bits
 BANDS: dict[str, tuple[float, float, float, float]] = {
     "latin": (1.6, 8.0, 0.10, 5.4),
@@ -140,7 +143,8 @@ def verdict(bands: dict[str, tuple[float, float, float, float]]) -> F.Column:
     """True where the measures lie in the band of the script."""
     out = F.lit(False)
     for script, (least, most, fallback, entropy) in bands.items():
-        ok = F.col("chars_per_token").between(least, most) & (F.col("fallback_share") <= fallback) & (F.col("token_entropy") >= entropy)
+        needed = F.least(F.lit(entropy), ENTROPY_SHARE * F.log2(F.col("n_tokens")))
+        ok = F.col("chars_per_token").between(least, most) & (F.col("fallback_share") <= fallback) & (F.col("token_entropy") >= needed)
         out = F.when(F.col("script") == script, ok).otherwise(out)
     return F.coalesce(out, F.lit(False))
 

@@ -107,6 +107,22 @@ def test_quality(docs, texts):
     assert kept.columns == ["doc_id", "text", "lang", "script", "n_chars"] and 0 < kept.count() < len(texts)
 
 
+PROSE = [
+    "The old man walked down to the harbour in the morning and sat on the wall. He watched the boats go out, one after the other, until the water was still. Then he went back up the hill to the house, where the dog was waiting by the door, and he made some tea and read the paper in the kitchen.",
+    "If the file is open, the object reads the next line from the file and returns the line as a string. If the end of the file is reached, the object returns an empty string. If the file is not open, an error is raised and the state of the object is not changed by the call. The caller can open the file again.",
+]
+
+
+def test_short_prose_is_kept(spark):
+    rng = random.Random(8)
+    few = " ".join(rng.choice("one two three four five six seven eight".split()) for _ in range(60))
+    rows = list(enumerate([*PROSE, few]))
+    got = by_id(quality.assess(spark.createDataFrame(rows, "doc_id long, text string"), quality.default_vocabulary()))
+    for i in range(len(PROSE)):
+        assert got[i]["kept"] and 50 <= got[i]["n_words"] <= 80 and got[i]["token_entropy"] < 5.4
+    assert not got[len(PROSE)]["kept"] and not got[len(PROSE)]["base_failed"]
+
+
 def test_licences(spark, docs):
     rows = [(1, "Some words here.\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, "A driving license is issued by the county office."), (4, None), (5, ""), (6, "This work is licensed under the GNU General Public License, version 3.")]
     found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select((docs.doc_id + 100).alias("doc_id"), "text")))
