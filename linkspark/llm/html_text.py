@@ -7,6 +7,8 @@ most points, again discounted by link density, is kept (the article or main elem
 around it, if it lies in one), with those of its siblings that score well or are
 plain paragraphs.  Elements that are no part of an article by name (menus, footers,
 forms, scripts and so on) or by a word of their class, id or role are left out whole.
+Such a word counts for nothing where it tells of the layout (with-, no-, -open and so on),
+where its elements hold most of the points of a page without other articles, or where they hold its only article.
 
 Every other character of the kept elements stays.  Character references are decoded,
 white space inside a block becomes one space, and blocks are joined in page order by
@@ -39,6 +41,15 @@ OUT = frozenset("head nav footer aside form script style noscript template butto
 WHOLE = frozenset("html body article main".split())
 #: Words of class, id or role that name what is no part of an article.
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation navi breadcrumb breadcrumbs footer foot header masthead topbar toolbar notice notices cookie cookies consent gdpr alert popup modal overlay dialog comment comments disqus discussion respond replies reply share sharing social follow subscribe subscription newsletter signup login search related recommended recommendations recirc widget widgets complementary contentinfo paywall pagination pager skip tags".split())
+#: Words of OUT_WORDS that name what readers say or what is sold; it may well outweigh the article.
+TALK = frozenset("comment comments disqus discussion respond replies reply".split())
+SOLD = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr".split())
+TOPS = frozenset("header masthead".split())
+#: First and last parts of a class that tells of the layout around what its words name, and first parts of an article's own header.
+WITH = frozenset("with without no has hide show".split())
+STATES = frozenset("open closed enabled disabled on off active fixed sticky visible hidden".split())
+OWN = frozenset("entry article post story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: start tag: (open elements that it ends, elements beyond which it doesn't reach)
@@ -61,6 +72,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.out = ["#root"], [-1], [False]
+        self.marks: list[frozenset[str]] = [frozenset()]  # words that may leave an element out
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.stack = [0]
         self.buffer: list[str] = []
@@ -69,6 +81,7 @@ class Page:
         self.owner = 0
         self.read(html)
         self.flush()
+        self.settle()
 
     def flush(self) -> None:
         if self.buffer:
@@ -112,7 +125,8 @@ class Page:
             if tag in limits:
                 return
 
-    def left_out(self, tag: str, raw: str) -> bool:
+    def left_out(self, tag: str, raw: str) -> bool | frozenset[str]:
+        """Whether an element is left out for sure, or the words by which it may be."""
         if tag in OUT:
             return True
         inside = any(self.tags[x] in ("article", "main") for x in self.stack)
@@ -121,16 +135,66 @@ class Page:
         if not raw.strip(" /\t\r\n"):
             return False
         words: set[str] = set()
+        named: set[str] = set()
         for name, *values in ATTRIBUTE.findall(raw):
             name = name.lower()
             value = values[0] or values[1] or values[2]
             if name in ("class", "id", "role"):
-                words.update(SPLIT.sub(" ", value).lower().split())
+                for one in value.split():
+                    parts = SPLIT.sub(" ", one).lower().split()
+                    words.update(parts)
+                    if len(parts) > 1 and (parts[0] in WITH or parts[-1] in STATES):
+                        continue
+                    named.update(x for x in parts if x in OUT_WORDS and not (x in TOPS and (inside or parts[0] in OWN)))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return True
         if tag in WHOLE:
             return tag == "article" and not words.isdisjoint(("comment", "comments", "reply", "ad", "advert", "sponsored"))
-        return not words.isdisjoint(OUT_WORDS)
+        return False if inside and tag in HEADINGS else frozenset(named)
+
+    def settle(self) -> None:
+        """Decide what the marks leave out, and drop its blocks."""
+        n = len(self.tags)
+        if not any(self.marks):
+            return
+        above = [self.marks[0]] * n
+        for k in range(1, n):
+            above[k] = above[self.parents[k]] | self.marks[k] if self.marks[k] else above[self.parents[k]]
+        total, by_word = 0.0, dict.fromkeys(OUT_WORDS, 0.0)
+        for owner, text, linked in self.blocks:
+            points = gain(text, linked)
+            total += points
+            for x in above[owner]:
+                by_word[x] += points
+        free = {x for x, points in by_word.items() if points > total / 2 and x not in TALK and x not in SOLD}
+        full = set()  # articles with text
+        around = {x: set() for x in free}  # elements around those of a word
+        for owner, _, _ in self.blocks:
+            node = owner
+            while node > 0:
+                if self.tags[node] in ("article", "main") and not self.out[node]:
+                    full.add(node)
+                node = self.parents[node]
+        for k in range(1, n):
+            for x in self.marks[k] & free:
+                node = k
+                while node > 0 and node not in around[x]:
+                    around[x].add(node)
+                    node = self.parents[node]
+        free = {x for x in free if all(x in above[k] or k in around[x] for k in full)}  # none with another article
+        holds, within, articles = [0] * n, [0] * n, 0
+        for k in range(n - 1, 0, -1):
+            real = self.tags[k] in ("article", "main") and not self.out[k]
+            articles += real
+            holds[self.parents[k]] += holds[k] + real
+        dropped = [False] * n
+        for k in range(1, n):
+            up = self.parents[k]
+            within[k] = within[up] + (self.tags[up] in ("article", "main") and not self.out[up])
+            marks = self.marks[k] - free
+            only = holds[k] and holds[k] + within[k] == articles and marks.isdisjoint(TALK)
+            dropped[k] = dropped[up] or bool(marks) and not only
+        self.blocks = [x for x in self.blocks if not dropped[x[0]]]
 
     def start(self, tag: str, raw: str) -> None:
         if tag == "br":
@@ -150,7 +214,9 @@ class Page:
                 self.link_level = len(self.stack)
             return
         parent = self.stack[-1]
-        self.out.append(self.out[parent] or self.left_out(tag, raw))
+        found = self.left_out(tag, raw)
+        self.out.append(self.out[parent] or found is True or tag in PHRASE)
+        self.marks.append(found if tag not in PHRASE and found and found is not True else self.marks[0])
         self.stack.append(len(self.tags))
         self.tags.append(tag)
         self.parents.append(parent)
@@ -196,17 +262,23 @@ class Page:
                 self.start(tag, found[3])
 
 
+def gain(text: str, linked: int) -> float:
+    """Points that a block passes on."""
+    size = len(text)
+    return (size / 100 if size < 25 else 1 + len(COMMAS.findall(text)) + min(size / 100, 3)) * (1 - linked / size)
+
+
 def scored(page: Page) -> tuple[list[float], list[int], list[int]]:
     """Points, characters and characters in links of each element."""
     n = len(page.tags)
     points, chars, links = [0.0] * n, [0] * n, [0] * n
     for owner, text, linked in page.blocks:
         size = len(text)
-        gain = (size / 100 if size < 25 else 1 + len(COMMAS.findall(text)) + min(size / 100, 3)) * (1 - linked / size)
+        own = gain(text, linked)
         node = page.parents[owner] if page.tags[owner] in PARAGRAPH else owner
         share = 1
         while node > 0:
-            points[node] += gain / share
+            points[node] += own / share
             share += 1
             node = page.parents[node]
         node = owner

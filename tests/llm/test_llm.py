@@ -259,6 +259,22 @@ def test_html():
     assert html_text.main_text("just text") == "just text"
 
 
+def test_html_layout_words():
+    text = "\n\n".join(["Words, and more words, of the article. " * 4, "Other words, of the same article. " * 4]).replace(" \n", "\n").strip()
+    body = "".join(f"<p>{x}</p>" for x in text.split("\n\n"))
+    for around in ("content with-sidebar", "no-sidebar", "layout header-fixed", "search-results", "has-comments", "widget"):
+        for inner in (body, f"<article>{body}</article>", f"<main><div class='entry-content'>{body}</div></main>"):
+            assert html_text.main_text(f'<body><div class="{around}">{inner}</div><div class="sidebar"><p>Not this, at all, please.</p></div></body>') == text
+    for title in ('<div class="entry-header"><h1>Title</h1></div>', '<h1 class="article-header">Title</h1>', '<h2 class="related">Title</h2>'):
+        assert html_text.main_text(f"<body><article>{title}{body}</article></body>") == "Title\n\n" + text
+    for out in ("ad", "site-footer", "related-posts", "share-buttons", "comments-area", "cookie_notice"):
+        assert html_text.main_text(f"<body><article>{body}<div class='{out}'><p>Not this, at all, please.</p></div></article></body>") == text
+    for out in ("ad", "widget", "banner"):
+        assert html_text.main_text(f"<body><div class='{out}'>" + "<p>Not this, at all, please, whatever its length may be.</p>" * 9 + "</div><article><p>Short text.</p></article></body>") == "Short text."
+    talk = "".join(f"<p>I, as reader {k}, think, that, this, is, good, indeed, and so on.</p>" for k in range(40))
+    assert html_text.main_text(f"<body><div>{body}</div><div id='comments'>{talk}</div></body>") == text
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>Hello, there.</p>", 7), (2, None, None, 8)], "page_id long, url string, html string, text long")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect()}
