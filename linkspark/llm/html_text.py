@@ -5,7 +5,9 @@ all of them to the nearest container, half to the next, a third to the next, and
 on, discounted by the share of its characters inside links.  The container with the
 most points, again discounted by link density, is kept (the article or main element
 around it, if it lies in one), with those of its siblings that score well or are
-plain paragraphs.  Elements that are no part of an article by name (menus, footers,
+plain paragraphs.  Where no article or main element tells its bounds, siblings need only
+hold some sentence and few links, and headings, lists, tables, quotes and code among or
+after the kept ones stay too.  Elements that are no part of an article by name (menus, footers,
 forms, scripts and so on) or by a word of their class, id or role are left out whole.
 Such a word counts for nothing where it tells of the layout (with-, no-, -open and so on),
 where its elements hold most of the points of a page without other articles, or where they hold its only article.
@@ -49,6 +51,8 @@ TOPS = frozenset("header masthead".split())
 WITH = frozenset("with without no has hide show".split())
 STATES = frozenset("open closed enabled disabled on off active fixed sticky visible hidden".split())
 OWN = frozenset("entry article post story".split())
+LISTED = frozenset("ul ol dl table blockquote pre figure".split())
+FEW_LINKS = 0.3  # share of an element's characters
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -304,18 +308,43 @@ def main_text(html: str | None) -> str:
         if page.tags[node] in ("article", "main"):
             best = node
         node = page.parents[node]
+    bounded = page.tags[best] in ("article", "main")
+    while not bounded and page.parents[best] > 0 and page.tags[page.parents[best]] not in WHOLE and chars[page.parents[best]] == chars[best]:
+        best = page.parents[best]  # which holds nothing else
     parent = page.parents[best]
     kept = {best}
     plain = lambda tag, size, linked, text: tag == "h1" and not linked or tag == "p" and (size > 80 and linked < 0.25 * size or not linked and text.endswith((".", "!", "?")))
     level = max(10.0, 0.2 * final[best])
+    spoken = [False] * len(page.tags)  # elements with a sentence
+    for owner, text, linked in page.blocks:
+        if len(text) >= 25 and linked < FEW_LINKS * len(text) and page.tags[owner] not in HEADINGS:
+            node = owner
+            while node >= 0 and not spoken[node]:
+                spoken[node] = True
+                node = page.parents[node]
     loose = set()  # blocks that stand alone beside the best element
     if best:
         for k in range(1, len(page.tags)):
-            if page.parents[k] == parent and page.tags[k] != "header" and final[k] >= level:
+            if page.parents[k] == parent and page.tags[k] != "header" and (final[k] >= level or not bounded and spoken[k] and links[k] < FEW_LINKS * chars[k]):
                 kept.add(k)
         for k, (owner, text, linked) in enumerate(page.blocks):
             if page.parents[owner] == parent and owner != best and plain(page.tags[owner], len(text), linked, text) or owner == parent and plain("p", len(text), linked, text):
                 loose.add(k)
+        if not bounded:
+            alone = {page.blocks[k][0] for k in loose} - {parent}
+            first = min(kept | alone)
+            heads = []
+            for k in range(1, len(page.tags)):
+                if page.parents[k] != parent or not chars[k]:
+                    continue
+                few = links[k] < FEW_LINKS * chars[k]
+                if page.tags[k] in HEADINGS and few:
+                    heads.append(k)
+                    continue
+                stays = k in kept or k in alone or k > first and page.tags[k] in LISTED and few
+                if stays:  # with the headings before it
+                    kept.update([k, *heads])
+                heads = []
     inside = {}
 
     def within(node: int) -> bool:

@@ -275,6 +275,18 @@ def test_html_layout_words():
     assert html_text.main_text(f"<body><div>{body}</div><div id='comments'>{talk}</div></body>") == text
 
 
+def test_html_sections():
+    long = ("Words, and more words, of the article. " * 9).strip()
+    short = "One short paragraph of a part."
+    menu = "<ul>" + "".join(f"<li><a href={k}>Some page {k}</a></li>" for k in range(9)) + "</ul>"
+    want = f"Part one\n\n{long}\n\n{long}\n\n{long}\n\n{long}\n\nPart two\n\n{short}\n\nitem\n\ncell\n\nquote\n\ncode"
+    more = "<ul><li>item</li></ul><table><tr><td>cell</td></tr></table><blockquote>quote</blockquote><pre>code</pre>"
+    for wrap in ("<div>{}</div>", "<section>{}</section>", "<section><div>{}</div></section>"):
+        parts = "<h2>Part one</h2>" + wrap.format(f"<p>{long}</p>" * 4) + "<h2>Part two</h2>" + wrap.format(f"<p>{short}</p>") + more
+        for page in (f"<body>{menu}{parts}{menu}</body>", f"<body><div>{menu}</div><div class='page'>{parts}</div><div>{menu}</div></body>"):
+            assert html_text.main_text(page) == want
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>Hello, there.</p>", 7), (2, None, None, 8)], "page_id long, url string, html string, text long")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect()}
