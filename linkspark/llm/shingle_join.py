@@ -256,7 +256,10 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     classes = common.materialize(classes)
     heads = some.filter("keys is not null").join(classes, ["n", "s1", "s2"])
-    sets = heads.groupBy(F.col("rep").alias("id")).agg(F.first("tokens").alias("tokens"))
+    sets = heads.groupBy(F.col("rep").alias("id"), "n", "s1", "s2").agg(F.first("tokens").alias("tokens")).select("id", "tokens")  # several of an id whose texts differ
+    again = some.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
+    again = some.join(again, "id", "left_semi").join(classes, ["n", "s1", "s2"])
+    tied = again.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()  # classes of one id
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +296,8 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
         return open_.join(leader, "key").filter("comp <> ca").select("a", F.col("id").alias("b")).distinct()
 
     for k in range(STARS):
-        add(verified(led(cross(comp), F.xxhash64("id", F.lit(k))), sets, over, under))
+        found = verified(led(cross(comp), F.xxhash64("id", F.lit(k))), sets, over, under)
+        add(found if k else found.union(tied))
     open_ = common.materialize(cross(comp))
     # every id of an open key is placed, those of its leader's component too: they may be near the others where the leader is not
     least = open_.groupBy("key").agg(F.min("id").alias("src"))

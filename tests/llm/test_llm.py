@@ -407,6 +407,17 @@ def test_chains_of_near_copies(spark, monkeypatch, dense):
     assert [got[i]["component_id"] for i in range(len(rows))] == root
 
 
+def test_texts_of_one_id(spark):
+    rng = random.Random(9)
+    text = [[f"t{k}w{rng.random()}" for _ in range(60)] for k in range(8)]
+    near = [" ".join([*w[:-1], "changed"]) for w in text]
+    text = [" ".join(w) for w in text]
+    rows = [(10, x) for x in text[:6]] + [(20 + k, x) for k, x in enumerate(near[:6])]  # many texts of one id
+    rows += [(3, text[6]), (5, text[6]), (5, text[7]), (7, near[7])]  # one of them another id's too
+    found = shingle_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == sorted((i, 10 if i >= 10 else 3) for i, _ in rows)
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
