@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -287,6 +288,58 @@ def test_html_sections():
             assert html_text.main_text(page) == want
 
 
+def test_html_classes_that_do_not_name():
+    text = "\n\n".join(f"Words, and more words, of part {k} of the article, which is long enough." for k in range(9))
+    body = "".join(f"<p>{x}</p>" for x in text.split("\n\n"))
+    for name in ("content has-sidebar", "post category-social-history", "main banner-story", "no-footer", "post tag-related-work", "w-social"):
+        assert html_text.main_text(f'<body><div class="{name}">{body}</div></body>') == text
+        assert html_text.main_text(f'<body><div><div class="{name}">{body}</div><div class="sidebar"><p>Not this, at all, please.</p></div></div></body>') == text
+    around = '<form id="f"><nav><a href="/">Home</a></nav><div id="c">%s</div></form>'
+    assert html_text.main_text(f"<body>{around % body}</body>") == text
+    assert html_text.main_text(f"<body><div>{body}<form><p>Your name, please, now, at once, whoever you are.</p></form></div></body>") == text
+    assert html_text.main_text(f"<body><div>{body}<div class='mobile-ad-300'><p>Buy this, and that, today, dear reader, for it is cheap.</p></div></div></body>") == text
+    assert html_text.main_text(f"<body><div role=navigation><p>Not this, at all, please, whatever it may be.</p></div><div>{body}</div></body>") == text
+
+
+@pytest.mark.parametrize("page", ["<b " + "\"'" * 200, ("<b \"' x") * 20_000, "<div>" * 100_000 + "x", "<p><button>" + "<div>" * 100_000, "<div>x" * 50_000, "<span hidden>" * 50_000, "<ul><li>" * 50_000, "</div>" * 50_000 + "<b>" * 50_000 + "</b>" * 50_000, "<a " + "x=y " * 100_000, "<!--" * 50_000, "<" * 100_000, "<a href='" * 50_000, "<div class='sidebar ad menu'>y, " * 20_000, "<script>" * 50_000])
+def test_html_hostile(page):
+    began = time.process_time()
+    assert isinstance(html_text.main_text(page), str)
+    assert time.process_time() - began < 3
+
+
+def test_html_scores_against_plain_definition():
+    rng = random.Random(3)
+    for _ in range(40):
+        parts, depth = [], 0
+        for _ in range(60):
+            step = rng.random()
+            if step < 0.4:
+                parts.append("<div>")
+                depth += 1
+            elif step < 0.6 and depth:
+                parts.append("</div>")
+                depth -= 1
+            else:
+                words_ = ", ".join("word" * rng.randint(1, 9) for _ in range(rng.randint(1, 9)))
+                parts.append(rng.choice(["<p>%s</p>", "<p>a<a href=x>%s</a></p>", "%s<br>", "<ul><li>%s</ul>"]) % words_)
+        page = html_text.Page("<body>" + "".join(parts) + "</body>")
+        points, chars, links = html_text.scored(page)
+        for k in range(1, len(page.tags)):
+            want = [0.0, 0, 0]
+            for owner, text, linked in page.blocks:
+                path = [owner]
+                while path[-1] > 0:
+                    path.append(page.parents[path[-1]])
+                if k in path:
+                    want[1] += len(text)
+                    want[2] += linked
+                    inner = path[1:] if page.tags[owner] in html_text.PARAGRAPH else path
+                    if k in inner:
+                        want[0] += html_text.gain(text, linked) / (inner.index(k) + 1)
+            assert [points[k], chars[k], links[k]] == pytest.approx(want)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>Hello, there.</p>", 7), (2, None, None, 8)], "page_id long, url string, html string, text long")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect()}
