@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,27 +17,78 @@ def edges_within(neighbours: DataFrame, limit: float) -> DataFrame:
     return neighbours.filter((1 - F.col("sim") < limit) & (F.col("src") != F.col("dst")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task joins to components at once; beyond, rounds over all of them go before.
+TOGETHER = 1 << 20
+#: A vertex with more than 1 / HUBS of all edges is a hub; there are 2 * HUBS of them at most.
+HUBS = 1000
+
+
+def least_labels(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, least vertex that edges reach from each)."""
+    vertices, codes = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = codes[: len(left)], codes[len(left) :]
+    label = np.arange(len(vertices))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return vertices, vertices[label]
+
+
+def _with_least(ways: DataFrame, total: int) -> DataFrame:
+    """Each way (src, dst) with the least of its src's neighbours, m.  Ways of hubs aren't brought together: there are few hubs, so their minima go to all tasks."""
+    least = ways.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"))
+    limit = max(total // HUBS, 1000)
+    hubs = F.broadcast(least.filter(F.col("n") > limit).select("src", "m"))
+    rest = ways.join(F.broadcast(hubs.select("src")), "src", "left_anti").join(least.filter(F.col("n") <= limit).select("src", "m"), "src")
+    return ways.join(hubs, "src").select("src", "dst", "m").union(rest.select("src", "dst", "m"))
+
+
+def components(edges: DataFrame, max_rounds: int = 60, together: int = TOGETHER) -> DataFrame:
     """(vertex, component_id: the least vertex reached) for the ends of edges (src, dst), direction ignored.
 
-    Each round points all neighbours of a vertex to the least of them, twice over
-    (greater ones, then smaller ones), until nothing changes.
+    Loops, repeated edges and nulls (skipped) are fine; no edges give no rows.  Up to
+    ``together`` different edges are joined in one task.  Of more, each round points all
+    neighbours of a vertex to the least of them, twice over (greater ones, then smaller
+    ones), until nothing changes.
     """
+    kind = edges.schema["src"].dataType.simpleString()
     order = lambda df: df.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    vertices = edges.select(F.col("src").alias("vertex")).union(edges.select("dst")).distinct()
+    loops = edges.filter("src = dst").select(F.col("src").alias("vertex")).distinct()
     now, before = materialize(order(edges)), None
-    for _ in range(max_rounds):
-        both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = order(both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        now = materialize(order(small.union(least)))
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return vertices.join(now, vertices["vertex"] == now["src"], "left").select("vertex", F.coalesce("dst", "vertex").alias("component_id"))
+    total = now.count()
+    if total <= together:
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [x for x in batches if x.num_rows]
+            if got:
+                both = pa.Table.from_batches(got)
+                vertex, label = least_labels(*(both.column(c).to_numpy() for c in ("src", "dst")))
+                wanted = both.schema.field("src").type
+                yield pa.RecordBatch.from_arrays([pa.array(vertex, wanted), pa.array(label, wanted)], names=["vertex", "component_id"])
+
+        found = now.coalesce(1).mapInArrow(join, f"vertex {kind}, component_id {kind}")
+    else:
+        for _ in range(max_rounds):
+            both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            reach = _with_least(both, total).filter("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst"))
+            large = materialize(order(reach))
+            small = _with_least(large, total)
+            now = materialize(order(small.select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(small.select("src", F.col("m").alias("dst")))))
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError("the components did not settle")
+        roots = now.select(F.col("dst").alias("vertex"), F.col("dst").alias("component_id")).distinct()
+        found = now.select(F.col("src").alias("vertex"), F.col("dst").alias("component_id")).union(roots)
+    alone = loops.join(found.select("vertex"), "vertex", "left_anti")
+    return materialize(found.union(alone.select("vertex", F.col("vertex").alias("component_id"))))
 
 
 def mutual(neighbours: DataFrame) -> DataFrame:

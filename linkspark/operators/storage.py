@@ -5,21 +5,60 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, else a local one (tests)."""
+    """The session's checkpoint folder.  Unset, it is a local one for a session on one machine; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found.rstrip("/") if found else "file://" + os.path.join(tempfile.gettempdir(), "linkspark-shared")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "linkspark-shared")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df there as Parquet and read it again, so that lineage ends; the files go with the session."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def _folder(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, store = _folder(spark, path)
+    store.delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What `materialize` writes inside goes at the end, so all that reads it must have been written out before."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, path)
+
+
+def write(df: DataFrame, keep: bool = False) -> str:
+    """Write df as Parquet into the shared folder and return where.  It goes with the session, or with the `scratch` around this (unless keep)."""
+    spark = df.sparkSession
+    inside = None if keep else _scratch.get()
+    path = f"{inside or shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not inside:
+        where, store = _folder(spark, path)
+        store.deleteOnExit(where)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df, written and read again, so that lineage ends."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df))
