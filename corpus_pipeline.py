@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import common, mixing, packing, quality, repeats, shingle_join
+from linkspark.operators import storage
 
 #: Near-duplicates: five words to a shingle, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
@@ -17,14 +18,12 @@ SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    common.release(spark, docs)
     common.tune(spark)
     return quality.filter_kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id; rows without an id stay."""
-    common.release(spark, docs)
     common.tune(spark)
     linked = shingle_join.link(docs, SHINGLE_WORDS, SIMILARITY)
     extra = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
@@ -33,7 +32,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that an earlier document has."""
-    common.release(spark, docs)
     common.tune(spark)
     left = repeats.strip(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -41,13 +39,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights ask."""
-    common.release(spark, docs)
     return mixing.apply(docs, common.table(spark, sf_dir, "labels"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences."""
-    common.release(spark, docs)
     common.tune(spark)
     return packing.digest(docs)
 
@@ -65,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = common.table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.materialize(docs)
-    return docs
+    """All stages over documents.  What a stage wrote on its way goes when its result is written, and that when the next one's is."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with storage.scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            path = storage.write(result, keep=True)
+        if before:
+            storage.delete(spark, before)
+        docs, before = spark.read.schema(result.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
