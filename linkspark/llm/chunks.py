@@ -1,10 +1,8 @@
 """Documents in chunks: one row for some megabytes of text, kept compressed.
 
 Operators that look at all n-grams of a corpus would shuffle a row for each n-gram.
-Here a chunk sends one row of packed numbers to each bucket of the n-grams' hashes, the
-bucket answers with one row for each chunk, and the chunk meets its answers by a
-cogroup.  The sizes of chunks and buckets bound the memory of every task, whatever keys
-are frequent: a key goes to its bucket once from each chunk at most.
+Here a chunk sends packed numbers (see exchange), and meets its answers by a cogroup.
+The size of chunks bounds the memory of every task.
 """
 
 from __future__ import annotations
@@ -20,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import common
+from linkspark.operators.storage import materialize
 
 CHUNK_BYTES = 16 << 20
 CHUNKS = "chunk long, n_docs long, n_bytes long, ids binary, lengths binary, text binary, extra binary"
@@ -49,7 +48,7 @@ def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[x.split()[0] for x in CHUNKS.split(", ")])
             made += 1
 
-    return common.materialize(rows.mapInArrow(run, CHUNKS))
+    return materialize(rows.mapInArrow(run, CHUNKS))
 
 
 def serialize(batch: pa.RecordBatch, carried: int) -> bytes:
@@ -107,11 +106,6 @@ def batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def bucket_count(chunks: DataFrame, bucket_bytes: int) -> int:
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(4, int(total // bucket_bytes) + 1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = x ^ (x >> np.uint64(30))
@@ -121,12 +115,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of each bucket's range in sorted 64-bit keys; a bucket is a range of keys."""
-    edges = [(i << 64) // buckets for i in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
-
-
 def word_hashes(names: pa.Array, salt: int = 0) -> np.ndarray:
     """64-bit hashes of distinct words."""
     import xxhash
@@ -148,6 +136,17 @@ def unpack_planes(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(unpack(blob, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Compressed bytes of numbers from 0, each in as few bytes as the greatest needs."""
+    most = int(values.max()) if len(values) else 0
+    size = next(x for x in (1, 2, 4, 8) if most < 1 << (8 * x))
+    return bytes([size]) + pack_planes(values.astype(f"u{size}"))
+
+
+def unpack_numbers(blob: bytes) -> np.ndarray:
+    return unpack_planes(blob[1:], f"u{blob[0]}").astype(np.int64)
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Compressed bytes of rising unsigned numbers."""
     return pack_planes(np.diff(values, prepend=values.dtype.type(0)))

@@ -6,7 +6,6 @@ below 0x80, so splitting UTF-8 bytes and splitting code points agree.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,50 +51,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    import os
-    import tempfile
-
-    return "file://" + os.path.join(tempfile.gettempdir(), "linkspark-shared")
-
-
-_written: list[str] = []
-
-
-def _folder(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there.  The files go when the session ends, or by `release`."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    where, store = _folder(spark, path)
-    store.deleteOnExit(where)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, *still_read: DataFrame) -> None:
-    """Delete what `materialize` has written so far, unless one of these frames reads from it.  All other frames must have been written out."""
-    used = [x for df in still_read for x in df.inputFiles()]
-    kept = []
-    for path in _written:
-        name = path.rsplit("/", 1)[1]
-        if any(name in x for x in used):
-            kept.append(path)
-        else:
-            where, store = _folder(spark, path)
-            store.delete(where, True)
-    _written[:] = kept
-
-
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of the column as text, modulo mod (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

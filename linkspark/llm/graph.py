@@ -1,53 +1,8 @@
-"""Connected components of an edge table by alternating large and small stars.
-
-Each round joins the edges with the least neighbour of each node, twice, and is written
-to the shared folder, so that lineage stays short.  A node's neighbours are never
-gathered in one place: minima are pre-aggregated and the joins may be split by key.
-"""
+"""Spanning forests of links inside one task."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from linkspark.llm import common
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: the neighbours of each node move to the least of them (large: the greater ones, small: the smaller ones)."""
-    if large:
-        ways = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = ways.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
-        moved = ways.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
-    else:  # src > dst in all edges
-        least = edges.groupBy("src").agg(F.min("dst").alias("least"))
-        moved = edges.join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
-        moved = moved.union(least.select("src", F.col("least").alias("dst")))
-    moved = moved.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    return moved if large else moved.distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component_id) of each end of an edge (src, dst long): the least id that links reach.
-
-    Loops, repeated edges, either order and nulls (skipped) are fine; no edges give no rows.
-    """
-    now = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    state_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-    now = common.materialize(now)
-    before = state_of(now)
-    for _ in range(max_rounds if before[0] else 0):
-        now = common.materialize(_star(_star(now, True), False))
-        state = state_of(now)
-        if state == before:
-            break
-        before = state
-    else:
-        if before[0]:
-            raise RuntimeError("the components did not settle")
-    roots = now.select(F.col("dst").alias("id"), F.col("dst").alias("component_id")).distinct()
-    return now.select(F.col("src").alias("id"), F.col("dst").alias("component_id")).union(roots)
 
 
 def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -39,8 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import common, graph
+from linkspark.llm import common
 from linkspark.llm.graph import forest
+from linkspark.operators import graph
+from linkspark.operators.storage import materialize
 
 THRESHOLD = 0.93
 SAMPLE = 20_000
@@ -126,7 +128,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
     good = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
     valid = rows.filter(good)
-    classes = common.materialize(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")))
+    classes = materialize(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")))
     total, dim = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").select("n", "dim").first() or (0, 1)
     bits, tables = plan(total, dim, threshold, miss)
     picked = common.sampled(classes.filter(F.size("v") == dim), sample, "id", total).select("v").toArrow().column("v").combine_chunks()
@@ -205,7 +207,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
             tree = forest(i, j)
             yield pa.RecordBatch.from_arrays([pa.array(i[tree]), pa.array(np.zeros(int(tree.sum()), np.int64)), pa.array(j[tree])], names=["id", "n", "to"])
 
-    found = common.materialize(dealt.mapInArrow(verify, "id long, n long, to long"))
+    found = materialize(dealt.mapInArrow(verify, "id long, n long, to long"))
     counts = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("others"))
     roots = graph.components(found.filter("to is not null").select(F.col("id").alias("src"), F.col("to").alias("dst")))
     by_class = classes.join(counts, "id", "left").join(roots, "id", "left").select("label", "v", "id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

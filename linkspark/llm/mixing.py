@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import common
+from linkspark.operators.storage import materialize
 
 #: Share of the expected tokens that each domain is to have.
 TARGETS = {"good": 0.90, "low": 0.06, "toxic": 0.04}
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column,
     picked = labels.select(F.col(id_column).alias("id"), domain.alias("domain")).filter(F.col("domain").isin(domains) & F.col("id").isNotNull())
     picked = common.sampled(picked, sample)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "id")
-    rows = common.materialize(rows.select("id", "domain", "text"))
+    rows = materialize(rows.select("id", "domain", "text"))
     found = rows.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).filter("word <> ''")
     counts = found.groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(domains)])
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -192,10 +193,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     model = fit(docs, labels, domains, domain_of() if domain is None else domain, sample, id_column, text_column)
     text = F.col(text_column)
     bins = model.features(text)
-    measured = common.materialize(docs.select(F.col(id_column).alias("id"), tokens_of(text).alias("words"), *[c.alias(n) for n, c in bins.items()]))
-    totals = common.materialize(measured.groupBy(*bins).agg(F.sum("words").alias("tokens")).withColumn("posterior", model.posteriors(bins)))
+    measured = materialize(docs.select(F.col(id_column).alias("id"), tokens_of(text).alias("words"), *[c.alias(n) for n, c in bins.items()]))
+    totals = materialize(measured.groupBy(*bins).agg(F.sum("words").alias("tokens")).withColumn("posterior", model.posteriors(bins)))
     history = solve(totals, [targets[d] / sum(targets.values()) for d in domains])
-    rates = common.materialize(totals.withColumn("rate", rate(F.col("posterior"), history)))
+    rates = materialize(totals.withColumn("rate", rate(F.col("posterior"), history)))
     found = measured.join(F.broadcast(rates.drop("tokens")), list(bins))
     rows = found.select("id", F.col("words").alias("tokens"), "posterior", "rate", copies(F.col("rate"), F.col("id")).alias("copies"))
     return model, rates, rows
