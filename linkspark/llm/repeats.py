@@ -6,20 +6,27 @@ a document with a smaller id.  Steps:
 1. Documents are written as chunks.  A place of a text is an anchor if the hash of its
    ``seed`` bytes is the least of some ``length - seed + 1`` places in a row.  Two equal
    strings of ``length`` bytes have an anchor at the same offset, so only anchors that at
-   least two documents have can lie in a string to remove.  Chunks send their anchors'
-   hashes to buckets, which answer which are shared.  (Short hashes make a few too many
-   shared; this only costs time.)
+   least two documents have can lie in a string to remove.  Chunks learn which of their
+   anchors these are (see exchange; its short hashes make a few too many shared, which
+   only costs time).
 2. Around each shared anchor, a chunk sends all bytes that a string through the anchor can
-   reach, once for each different surrounding and with the least id that has it.
-3. A bucket of anchors gathers the surroundings.  Those that are equal are merged.  Of an
-   anchor with several different ones, all suffixes that begin a string of ``length``
-   bytes go to a suffix array (see suffix_array: difference cover, one bucket at a time),
+   reach, once for each different surrounding and with the least id that has it, to a node
+   for its range of anchors.  Nodes form a tree like that of exchange: equal surroundings
+   are merged on the way to its top.
+3. A node at the top has all different surroundings of its anchors.  Of an anchor with
+   several, all suffixes that begin a string of ``length`` bytes go to a suffix array
+   (see suffix_array: difference cover, one bucket at a time, ties by ranks of the sample),
    where equal strings are neighbours; the least id of each run is the string's.
-4. The chunks learn at which places strings start that a smaller id has.
+4. Back down the tree, the chunks learn at which places strings start that a smaller id has.
+
+An anchor that more than ``hot`` documents have could bring any number of surroundings to
+one node.  Its strings are sent one by one instead, as 128-bit hashes with their least id,
+which scatters them over all nodes.
 
 Defined results: null text is empty; texts under ``length`` bytes lose nothing; rows with
 null id neither lose bytes nor take them from others; rows with one id count as one
-document, so they take nothing from each other; an empty table gives no rows.
+document, so they take nothing from each other; an empty table gives no rows; `strip`
+keeps all columns, whatever their names, `digest` looks at the two named ones alone.
 """
 
 from __future__ import annotations
@@ -33,7 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import chunks as C
-from linkspark.llm import common, suffix_array
+from linkspark.llm import common, exchange, suffix_array
+from linkspark.operators.storage import materialize
 
 LENGTH = 50
 SEED = 26
@@ -41,13 +49,17 @@ STEP = 3 << 19
 #: Surroundings that one suffix array holds, about.
 ROWS = 1 << 15
 NULL_ID = np.iinfo(np.int64).max
-BUCKET_BYTES = 8 << 20
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+FACTOR, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+#: Documents that share an anchor, above which its strings are sent one by one.
+HOT = 1 << 16
+MARGIN = 9  # see exchange.key_bits
+#: What chunks and nodes send: kind 0 surroundings, 1 hashed strings; own: which row a place has, later: whether an id below the place's has it in the chunk.
+AROUND = "kind int, grp long, rng long, child long, around binary, ids binary, places binary, own binary, later binary"
 
 
-def rolling(data: np.ndarray, length: int) -> np.ndarray:
+def rolling(data: np.ndarray, length: int, factor_: np.uint64 = FACTOR) -> np.ndarray:
     """Polynomial hashes of all strings of `length` bytes (64 bits, not scattered)."""
-    factor = int(FACTOR)
+    factor = int(factor_)
     power, span = data.astype(np.uint64) + np.uint64(1), 1  # hashes of spans of 1, 2, 4 ... bytes
     out, have = None, 0
     rest = length
@@ -98,7 +110,12 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, seed: int) -> tup
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     high = sliding(padded, width, False)[: len(h)]
     at = np.flatnonzero(high == h)
-    return at, C.mix(h[at] + FACTOR)  # mixed again, as least hashes are small numbers and would share a bucket
+    return at, C.mix(h[at] + FACTOR)  # mixed again, as least hashes are small numbers and would share a range
+
+
+def anchor_keys(rows: np.ndarray, reach: int, seed: int) -> np.ndarray:
+    """The anchors' hashes from their surroundings."""
+    return C.mix(C.mix(rolling(np.ascontiguousarray(rows[:, reach : reach + seed]).reshape(-1), seed)[::seed]) + FACTOR)
 
 
 def surroundings(data: np.ndarray, starts: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -134,15 +151,20 @@ def classes(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return own, order[firsts], np.minimum.reduceat(ids[order], firsts) if len(rows) else ids
 
 
-def masks(rows: np.ndarray, ids: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For different surroundings and the least id of each: bits of the offsets at which a string starts, and of those whose string some smaller id has."""
+def whole_strings(rows: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Bits of the offsets at which a string of `length` bytes starts, for each surrounding."""
     reach = length - seed
-    bits = np.uint32(1) << np.arange(reach + 1, dtype=np.uint32)
     left, right = rows[:, -2].astype(np.int16), rows[:, -1].astype(np.int16)
-    column = np.arange(reach + 1, dtype=np.int16)
     real = np.zeros(len(rows), np.uint32)
     for k in range(reach + 1):
-        real |= np.where((column[k] >= reach - left) & (column[k] + length <= reach + right), bits[k], np.uint32(0))
+        real |= np.where((k >= reach - left) & (k + length <= reach + right), np.uint32(1 << k), np.uint32(0))
+    return real
+
+
+def masks(rows: np.ndarray, ids: np.ndarray, real: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """For different surroundings and the least id of each: bits of the offsets whose string some smaller id has."""
+    reach = length - seed
+    bits = np.uint32(1) << np.arange(reach + 1, dtype=np.uint32)
     taken = np.zeros(len(rows), np.uint32)
     seeds = seed_keys(rows, reach, seed)
     order = np.argsort(seeds, kind="stable")
@@ -168,7 +190,7 @@ def masks(rows: np.ndarray, ids: np.ndarray, length: int, seed: int) -> tuple[np
             lower = least < who
             taken[some] = np.bincount(r[lower], bits[c[lower]].astype(float), len(some)).astype(np.uint32)
         at = to
-    return real, taken
+    return taken
 
 
 def seed_keys(rows: np.ndarray, at: int, seed: int) -> np.ndarray:
@@ -191,119 +213,166 @@ def covered(begins: np.ndarray, n: int, length: int) -> np.ndarray:
     return out
 
 
-def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(chunk, starts binary): int64 places of a chunk's bytes where a string starts that a smaller id has."""
+def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT, fan: int = exchange.FAN) -> DataFrame:
+    """(chunk, starts binary): places of a chunk's bytes where a string starts that a smaller id has."""
     assert 8 <= seed <= length <= seed + 31 and length < 256
     reach = length - seed
-    buckets = C.bucket_count(chunks, BUCKET_BYTES)
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    bits = exchange.key_bits(chunks.agg(F.sum("n_bytes")).first()[0] or 0, MARGIN)
+    groups = exchange.groups_of(chunks, fan)
+    widths = {0: -(-(length + reach + 2) // suffix_array.PERIOD) * suffix_array.PERIOD, 1: 16}
+
+    def short(hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - bits)
 
-    def chunk_anchors(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    def chunk_anchors(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, short hashes, ids) of a chunk's anchors, by hash and id."""
         at, hashes = [], []
         for a, b in chunk.steps(STEP):
             base = chunk.starts[a]
             p, h = anchors(chunk.data[base : chunk.starts[b]], chunk.starts[a : b + 1] - base, length, seed)
-            keep = chunk.ids[np.searchsorted(chunk.starts, p + base, "right") - 1] != NULL_ID
-            at.append(p[keep] + base)
-            hashes.append(h[keep])
-        return np.concatenate(at), np.concatenate(hashes)
-
-    def short(chunk: C.Chunk, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order of the anchors by hash, first of each different hash in that order, whether it occurs in several documents here)."""
-        order = np.argsort(hashes, kind="stable")
-        sorted_ = hashes[order]
-        ids = chunk.ids[np.searchsorted(chunk.starts, at[order], "right") - 1]
-        firsts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(at) else np.empty(0, np.int64)
-        several = np.minimum.reduceat(ids, firsts) != np.maximum.reduceat(ids, firsts) if len(firsts) else np.empty(0, bool)
-        return order, firsts, several
-
-    def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            for row in C.rows_of(pa.Table.from_batches([one])):
-                chunk = C.Chunk(row)
-                at, hashes = chunk_anchors(chunk)
-                order, firsts, several = short(chunk, at, hashes)
-                keys = hashes[order[firsts]]
-                cuts = C.split(keys, buckets)
-                rows = []
-                for k in range(buckets):
-                    own = slice(cuts[k], cuts[k + 1])
-                    brief = tail(keys[own])
-                    rows.append((k, chunk.key, C.pack_sorted(brief), C.pack(np.packbits(several[own]))))
-                yield C.batch("bucket int, chunk long, hashes binary, several binary", rows)
-
-    def tail(keys: np.ndarray) -> np.ndarray:
-        """32 bits of a key that its bucket doesn't tell."""
-        return (keys * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
-
-    def shared(table: pa.Table) -> pa.Table:
-        rows = list(C.rows_of(table))
-        hashes = [C.unpack_sorted(x["hashes"], np.uint32) for x in rows]
-        several = [np.unpackbits(C.unpack(x["several"], np.uint8), count=len(h)).astype(bool) for x, h in zip(rows, hashes)]
-        joined = np.concatenate(hashes)
-        order = np.argsort(joined, kind="stable")
-        sorted_ = joined[order]
-        twice = np.concatenate(several)
-        same = sorted_[1:] == sorted_[:-1]
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        answers, at = [], 0
-        for x, h in zip(rows, hashes):
-            answers.append((x["bucket"], x["chunk"], C.pack(np.packbits(twice[at : at + len(h)]))))
-            at += len(h)
-        return pa.Table.from_batches([C.batch("bucket int, chunk long, shared binary", answers)])
-
-    def send_surroundings(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+            at.append(p + base)
+            hashes.append(short(h))
+        at, hashes = np.concatenate(at), np.concatenate(hashes)
+        ids = chunk.ids[np.searchsorted(chunk.starts, at, "right") - 1]
+        real = ids != NULL_ID
+        at, hashes, ids = at[real], hashes[real], ids[real]
+        order = np.lexsort((ids, hashes))
+        return at[order], hashes[order], ids[order]
+
+    def strings(chunk: C.Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, 128-bit hashes) of the strings of `length` bytes through these anchors."""
+        begins, keys = [], []
+        for a, b in chunk.steps(STEP):
+            base, end = chunk.starts[a], chunk.starts[b]
+            some = at[np.searchsorted(at, base) : np.searchsorted(at, end)]
+            doc = np.searchsorted(chunk.starts, some, "right") - 1
+            mark = np.zeros(end - base, bool)
+            for o in range(reach + 1):
+                inside = (some - o >= chunk.starts[doc]) & (some - o + length <= chunk.starts[doc + 1])
+                mark[some[inside] - o - base] = True
+            own = np.flatnonzero(mark)
+            if len(own):
+                begins.append(own + base)
+                keys.append(np.stack([C.mix(rolling(chunk.data[base:end], length, f)[own]) for f in (FACTOR, OTHER)], 1))
+        return (np.concatenate(begins), np.concatenate(keys)) if begins else (np.empty(0, np.int64), np.empty((0, 2), np.uint64))
+
+    def lists(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        _, hashes, ids = chunk_anchors(C.Chunk(row))
+        first = np.ones(len(hashes), bool)
+        first[1:] = hashes[1:] != hashes[:-1]
+        another = first.copy()
+        another[1:] |= ids[1:] != ids[:-1]
+        at = np.flatnonzero(first)
+        yield 0, hashes[at], np.add.reduceat(another.astype(np.int64), at) if len(at) else at
+
+    def tell(_: int, documents: np.ndarray) -> np.ndarray:
+        return (documents > 1).astype(np.uint8) + (documents > hot)
+
+    def row_of(kind: int, node: tuple[int, int], child: int, rows: np.ndarray, least: np.ndarray, places=None, own=None, later=None) -> tuple:
+        return (kind, *node, child, C.pack(rows), C.pack(least), *(None if x is None else C.pack(x) for x in (places, own, later)))
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        got, out = list(C.rows_of(right)), []
         for row in C.rows_of(left):
             chunk = C.Chunk(row)
-            at, hashes = chunk_anchors(chunk)
-            order, firsts, _ = short(chunk, at, hashes)
-            keys = hashes[order[firsts]]
-            cuts = C.split(keys, buckets)
-            is_shared = np.zeros(len(firsts), bool)
-            for x in C.rows_of(right):
-                k = x["bucket"]
-                is_shared[cuts[k] : cuts[k + 1]] = np.unpackbits(C.unpack(x["shared"], np.uint8), count=cuts[k + 1] - cuts[k]).astype(bool)
-            sizes = np.diff(np.append(firsts, len(order)))
-            used = order[np.repeat(is_shared, sizes)]
-            at, hashes = at[used], hashes[used]
-            bounds = C.split(hashes, buckets)
-            for k in range(buckets):
-                if bounds[k] == bounds[k + 1]:
-                    continue
-                p = at[bounds[k] : bounds[k + 1]]
-                ids = chunk.ids[np.searchsorted(chunk.starts, p, "right") - 1]
-                own, first, least = classes(surroundings(chunk.data, chunk.starts, p, length, seed), ids)
-                rows = surroundings(chunk.data, chunk.starts, p[first], length, seed)
-                out.append((k, chunk.key, C.pack(rows), C.pack(least), C.pack(p.astype(np.uint32)), C.pack(own.astype(np.uint32)), C.pack(ids != least[own])))
-        return pa.Table.from_batches([C.batch("bucket int, chunk long, rows binary, ids binary, places binary, own binary, later binary", out)])
-
-    width = -(-(length + reach + 2) // suffix_array.PERIOD) * suffix_array.PERIOD
-
-    def judge(table: pa.Table) -> pa.Table:
-        got = list(C.rows_of(table))
-        rows = np.concatenate([C.unpack(x["rows"], np.uint8).reshape(-1, width) for x in got])
+            group = exchange.group_of(chunk.key, groups[0])
+            at, hashes, ids = chunk_anchors(chunk)
+            which = np.cumsum(np.concatenate([[True], hashes[1:] != hashes[:-1]])) - 1 if len(hashes) else np.empty(0, np.int64)
+            told = exchange.known(got, 0)[which] if len(hashes) else which
+            p, h, who = at[told == 1], hashes[told == 1], ids[told == 1]
+            cuts = exchange.bounds(h, bits, fan, 1, 0)
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[k], cuts[k + 1])
+                own, first, least = classes(surroundings(chunk.data, chunk.starts, p[part], length, seed), who[part])
+                rows = surroundings(chunk.data, chunk.starts, p[part][first], length, seed)
+                out.append(row_of(0, (group, k), chunk.key, rows, least, p[part].astype(np.uint32), own.astype(np.uint32), who[part] != least[own]))
+            some = at[told == 2]
+            if len(some):  # the strings through hot anchors
+                begin, keys = strings(chunk, np.sort(some))
+                order = np.argsort(keys[:, 0], kind="stable")
+                begin, keys = begin[order], np.ascontiguousarray(keys[order])
+                who = chunk.ids[np.searchsorted(chunk.starts, begin, "right") - 1]
+                cuts = exchange.bounds(short(keys[:, 0]), bits, fan, 1, 0)
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = slice(cuts[k], cuts[k + 1])
+                    rows = keys[part].view(np.uint8).reshape(-1, 16)
+                    own, first, least = classes(rows, who[part])
+                    out.append(row_of(1, (group, k), chunk.key, rows[first], least, begin[part].astype(np.uint32), own.astype(np.uint32), who[part] != least[own]))
+        return pa.Table.from_batches([C.batch(AROUND, out)])
+
+    def gather(got: list[dict]) -> tuple:
+        """(rows, ids, class of each, different rows by their anchors' hashes, least ids, hashes, whole strings of each)."""
+        kind = got[0]["kind"]
+        rows = np.concatenate([C.unpack(x["around"], np.uint8).reshape(-1, widths[kind]) for x in got])
         ids = np.concatenate([C.unpack(x["ids"], np.int64) for x in got])
         own, first, least = classes(rows, ids)
-        real, taken = masks(rows[first], least, length, seed)
-        begins = np.concatenate([[0], np.cumsum([len(C.unpack(x["ids"], np.int64)) for x in got])])
-        out = []
-        for k, x in enumerate(got):
-            span = slice(begins[k], begins[k + 1])
-            mine = own[span]
-            here = np.where(ids[span] > least[mine], real[mine], taken[mine])
-            place = C.unpack(x["places"], np.uint32).astype(np.int64)
-            cls = C.unpack(x["own"], np.uint32)
-            flags = np.where(C.unpack(x["later"], bool), real[mine][cls], here[cls])
-            starts = np.unique(np.concatenate([place[flags >> np.uint32(o) & np.uint32(1) > 0] + (o - reach) for o in range(reach + 1)]))
-            out.append((x["chunk"], C.pack(np.diff(starts, prepend=0).astype(np.uint32))))
-        return pa.Table.from_batches([C.batch("chunk long, starts binary", out)])
-
-    asked = chunks.select("chunk", "ids", "lengths", "text", "extra").mapInArrow(send_hashes, "bucket int, chunk long, hashes binary, several binary")
-    answers = asked.groupBy("bucket").applyInArrow(shared, "bucket int, chunk long, shared binary")
-    around = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_surroundings, "bucket int, chunk long, rows binary, ids binary, places binary, own binary, later binary")
-    return around.groupBy("bucket").applyInArrow(judge, "chunk long, starts binary")
+        different = rows[first]
+        keys = short(anchor_keys(different, reach, seed) if kind == 0 else np.ascontiguousarray(different[:, :8]).view(np.uint64).reshape(-1))
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        different = different[order]
+        real = whole_strings(different, length, seed) if kind == 0 else np.full(len(different), 1 << reach, np.uint32)
+        return ids, place[own], different, least[order], keys[order], real
+
+    def forward(level: int):
+        def run(table: pa.Table) -> pa.Table:
+            got = list(C.rows_of(table))
+            kind, grp, rng = got[0]["kind"], got[0]["grp"], got[0]["rng"]
+            _, _, rows, least, keys, _ = gather(got)
+            cuts = exchange.bounds(keys, bits, fan, level + 1, rng)
+            parts = [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+            return pa.Table.from_batches([C.batch(AROUND, [row_of(kind, (grp % groups[level], rng * fan + k), grp, rows[part], least[part]) for k, part in parts])])
+
+        return run
+
+    def answers(got: list[dict], taken: np.ndarray, gathered: tuple, bottom: bool) -> pa.Table:
+        """What a node tells its senders: of their rows' strings those that smaller ids have, at the bottom as places."""
+        ids, own, _, least, _, real = gathered
+        flags = np.where(ids > least[own], real[own], taken[own])
+        out, at = [], 0
+        for x in got:
+            n = len(C.unpack(x["ids"], np.int64))
+            here = flags[at : at + n]
+            if bottom:
+                place = C.unpack(x["places"], np.uint32).astype(np.int64)
+                cls = C.unpack(x["own"], np.uint32)
+                mask = np.where(C.unpack(x["later"], bool), real[own[at : at + n]][cls], here[cls])
+                starts = np.unique(np.concatenate([place[mask >> np.uint32(o) & np.uint32(1) > 0] + (o - reach) for o in range(reach + 1)]))
+                here = np.diff(starts, prepend=0).astype(np.uint32)
+            out.append((x["kind"], x["child"], x["rng"], C.pack(here)))
+            at += n
+        return pa.Table.from_batches([C.batch("kind int, grp long, rng long, starts binary", out)])
+
+    def judge(bottom: bool):
+        def run(table: pa.Table) -> pa.Table:
+            got = list(C.rows_of(table))
+            gathered = gather(got)
+            _, _, rows, least, _, real = gathered
+            taken = masks(rows, least, real, length, seed) if got[0]["kind"] == 0 else np.zeros(len(rows), np.uint32)
+            return answers(got, taken, gathered, bottom)
+
+        return run
+
+    def back(bottom: bool):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            got = list(C.rows_of(left))
+            told = sorted((x["rng"], x["starts"]) for x in C.rows_of(right))
+            return answers(got, np.concatenate([C.unpack(x, np.uint32) for _, x in told]), gather(got), bottom)
+
+        return run
+
+    node, told = ["kind", "grp", "rng"], "kind int, grp long, rng long, starts binary"
+    shared = exchange.totals(chunks, lists, {0: bits}, tell, fan)
+    sent = [chunks.groupBy("chunk").cogroup(shared.groupBy("grp")).applyInArrow(send, AROUND)]
+    for level in range(1, len(groups)):
+        sent[-1] = materialize(sent[-1])
+        sent.append(sent[-1].groupBy(*node).applyInArrow(forward(level), AROUND))
+    found = sent[-1].groupBy(*node).applyInArrow(judge(len(groups) == 1), told)
+    for level in range(len(groups) - 2, -1, -1):
+        above = materialize(found).withColumn("node", F.floor(F.col("rng") / fan).cast("long"))
+        found = sent[level].groupBy(*node).cogroup(above.groupBy("kind", "grp", "node")).applyInArrow(back(level == 0), told)
+    return found.select(F.col("grp").alias("chunk"), "starts")
 
 
 def removed_flags(chunk: C.Chunk, answers: pa.Table, length: int) -> np.ndarray:
@@ -311,9 +380,9 @@ def removed_flags(chunk: C.Chunk, answers: pa.Table, length: int) -> np.ndarray:
     return covered(np.concatenate(begins) if begins else np.empty(0, np.int64), len(chunk.data), length)
 
 
-def digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT, chunk_bytes: int = C.CHUNK_BYTES, fan: int = exchange.FAN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
-    chunks = C.chunked(docs, id_column, text_column)
+    chunks = C.chunked(docs, id_column, text_column, chunk_bytes=chunk_bytes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -333,7 +402,7 @@ def digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: s
                 out.append((None if chunk.ids[i] == NULL_ID else int(chunk.ids[i]), b - a, int(counts[i]), int(spans[i]), hashlib.sha256(own.tobytes()).hexdigest()))
         return pa.Table.from_batches([C.batch(schema, out)])
 
-    found = find(chunks, length, seed)
+    found = find(chunks, length, seed, hot, fan)
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)
 
 
