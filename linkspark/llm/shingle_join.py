@@ -4,26 +4,30 @@ The tokens of a document are its different shingles.  Tokens are ordered by clas
 by hash: single (in one document), rare (in up to ``frequent``) and frequent.  If two sets
 of similarity t or more agree in all but e tokens of one of them, any e + 1 tokens of it
 hold a shared one; this is the prefix.  Single tokens take places of the prefix but can't
-be shared.  Rare tokens are indexed one by one.  Frequent tokens are indexed in
-combinations of two, for which the prefix is one token longer: were no pair shared, at
-most one of its frequent tokens could be.  Sets only match sets of like size, so keys
-carry a band of sizes; bands whose prefix is longer than ``pair_prefix`` index frequent
-tokens one by one, as their pairs would be too many.
+be shared.  Rare tokens are indexed one by one, frequent ones in combinations of two.
+For these the tokens are dealt to m parts by their hash, and the prefix is extended by m
+tokens: then m + 1 shared tokens lie in the prefixes of both sets, so a rare one is among
+them, or two frequent ones of one part.  Combinations are made inside parts only; m grows with
+the prefix, so that a part has about ``part`` tokens and the keys of a set grow with its
+size, not with the square of it.  Sets only match sets of like size, so keys carry a band
+of sizes, which also tells m.
 
 Documents with equal sets are one class.  Of the classes under a key, first a leader is
-compared with the others, in `STARS` rounds with another leader each.  What then still
+compared with the others, in rounds with another leader each: `STARS` of them, and more
+while a round still settles a good part of what is open.  What then still
 lies in different components under a common key falls into clusters by such keys.  A
-cluster with few pairs is compared pair by pair, one with many (of near copies that are
-not all near each other) by matrix products of blocks, which return a spanning forest of
-the links.  No link between different texts is missed.  Pairs are verified with the
-whole sets.
+cluster with few pairs is compared pair by pair.  One with many (of near copies that are
+not all near each other) is compared by matrix products of blocks: the members outside its
+largest component with each other and with that component's members, which needn't be compared
+among themselves; blocks return a spanning forest of the links.  No link between different texts is missed.
+Pairs are verified with the whole sets.
 
 A shingle's identity is a 64-bit hash of its words.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing;
 a text with fewer words than a shingle has its whole sequence as its one shingle; rows with
 equal doc_id are one node of the graph; rows with null doc_id have null component_id; an
-empty table gives no rows.
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,18 +41,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.llm import chunks as C
-from linkspark.llm import common, graph
+from linkspark.llm import common, exchange
 from linkspark.llm.graph import forest
+from linkspark.operators import graph
+from linkspark.operators.storage import materialize
 
 WIDTH = 4
 THRESHOLD = (85, 100)
 FREQUENT = 64
-PAIR_PREFIX = 24
+PART = 8
 STARS = 2
+#: More rounds of leaders follow while there is this much open, and the last one settled this share of it.
+OPEN, SETTLED = 1 << 16, 0.25
 #: Sets that a task compares with as many others.
 BLOCK = 256
 STEP = 4 << 20
-BUCKET_BYTES = 12 << 20
+MARGIN = 1  # see exchange.key_bits; chance equals only make a single token rare
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NULL_ID = np.iinfo(np.int64).max
 SINGLE, RARE, COMMON = 0, 1, 2
@@ -97,26 +105,37 @@ def band_prefix(b: int, over: int, under: int) -> int:
     return spare(math.floor((under / over) ** (b + 1)), over, under) + 1
 
 
-def keys_of(own: np.ndarray, kinds: np.ndarray, over: int, under: int, pair_prefix: int) -> np.ndarray:
+def band_parts(b: int, over: int, under: int, part: int) -> int:
+    """Parts that a band's tokens are dealt to: about `part` tokens of a prefix each, and fewer than sets of the band must share (0: one token at least; all are indexed one by one then)."""
+    least = math.ceil((under / over) ** b * over / under - 1e-9)
+    return min(max(1, band_prefix(b, over, under) // part), least - 1)
+
+
+def keys_of(own: np.ndarray, kinds: np.ndarray, over: int, under: int, part: int) -> np.ndarray:
     """Keys under which a set is indexed.  kinds: the class of each token."""
     n = len(own)
     order = np.lexsort((own, kinds))
     tokens, kinds = own[order], kinds[order]
     need = spare(n, over, under) + 1
+    plain = int(np.searchsorted(kinds, COMMON))
     out = []
     home = band(n, over, under)
     for b in (home, home + 1):  # bands of partners differ by one at most
-        pairs = band_prefix(b, over, under) <= pair_prefix
-        plain = int(np.searchsorted(kinds, COMMON))
-        take = min(need if plain >= need or not pairs else need + 1, n)
-        head, which = tokens[:take], kinds[:take]
         salt = C.mix(np.array([b + 1000], np.uint64))
-        single = head[(which == RARE) | (which == COMMON if not pairs else False)]
-        out.append(C.mix(single + salt))
-        if pairs:
-            often = head[which == COMMON]
-            i, j = np.triu_indices(len(often), 1)
-            out.append(C.mix(C.mix(often[i] + salt) * FACTOR + often[j]))
+        parts = band_parts(b, over, under, part)
+        take = min(need if plain >= need else need + parts, n)
+        out.append(C.mix(tokens[:take][(kinds[:take] == RARE) | (kinds[:take] == COMMON if not parts else False)] + salt))
+        if not parts:
+            continue
+        often = tokens[:take][kinds[:take] == COMMON]
+        where = C.mix(often) % np.uint64(parts)
+        by = np.argsort(where, kind="stable")
+        often, sizes = often[by], np.bincount(where.astype(np.int64), minlength=1)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        after = ends - np.arange(len(often)) - 1  # partners of each in its part
+        i = np.repeat(np.arange(len(often)), after)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+        out.append(C.mix(C.mix(often[i] + salt) * FACTOR + often[j]))
     return np.concatenate(out)
 
 
@@ -163,14 +182,19 @@ def overlaps(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
 
 
 def in_blocks(members: DataFrame, sets: DataFrame, over: int, under: int, block: int) -> DataFrame:
-    """Links (a, b) among the members (cluster, id, m: their number) of clusters, enough of them to span what they join.
+    """Links (a, b) among the members (cluster, id, comp, inner: the cluster's largest component) of clusters, enough of them to span what they join.
 
-    A cluster's members are dealt to shards of `block`; a task compares two shards by a matrix product.
+    Members outside the largest component, and those inside, are dealt to shards of `block`; a
+    task compares two shards by a matrix product, unless both are inside.
     """
-    shards = F.ceil(F.col("m") / block).cast("int")
-    own = members.withColumn("shards", shards).withColumn("own", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    own = own.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    own = own.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "tokens")
+    outside = (F.col("comp") != F.col("inner")).cast("int")
+    rows = members.withColumn("outside", outside)
+    count = rows.groupBy("cluster").agg(F.ceil(F.sum("outside") / block).cast("int").alias("outer"), F.ceil(F.sum(1 - F.col("outside")) / block).cast("int").alias("inners"))
+    rows = rows.join(count, "cluster")
+    here = F.when(F.col("outside") == 1, F.pmod(F.xxhash64("id"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inners"))).cast("int")
+    last = F.when(F.col("outside") == 1, F.col("outer") + F.col("inners")).otherwise(F.col("outer"))  # inner shards only meet outer ones
+    own = rows.withColumn("own", here).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    own = own.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id").join(sets, "id").select("cluster", "low", "high", "id", "tokens")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("id").combine_chunks())
@@ -185,11 +209,11 @@ def in_blocks(members: DataFrame, sets: DataFrame, over: int, under: int, block:
     return own.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
 
 
-def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, pair_prefix: int = PAIR_PREFIX, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, part: int = PART, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = C.CHUNK_BYTES, fan: int = exchange.FAN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row.  threshold: a fraction (over, under)."""
     over, under = threshold
-    chunks = C.chunked(docs, id_column, text_column)
-    buckets = C.bucket_count(chunks, BUCKET_BYTES)
+    chunks = C.chunked(docs, id_column, text_column, chunk_bytes=chunk_bytes)
+    bits = exchange.key_bits(chunks.agg(F.sum("n_bytes")).first()[0] or 0, MARGIN)
 
     def firsts(chunk: C.Chunk) -> Iterator[tuple[int, np.ndarray, tuple[int, int], bool]]:
         """(row, set, signature, whether it is the first such set of the chunk) of each row."""
@@ -200,61 +224,37 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
             if chunk.ids[i] != NULL_ID:
                 seen.add(s)
 
-    def tail(keys: np.ndarray) -> np.ndarray:
-        """24 bits of a key that its bucket doesn't tell; chance equals only make a single token rare."""
-        return (keys * np.uint64(buckets) >> np.uint64(40)).astype(np.uint32)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            for row in C.rows_of(pa.Table.from_batches([one])):
-                chunk = C.Chunk(row)
-                keys = np.sort(np.concatenate([own for _, own, _, first in firsts(chunk) if first] or [np.empty(0, np.uint64)]))
-                new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
-                at = np.flatnonzero(new)
-                counts = np.minimum(np.diff(np.append(at, len(keys))), 255).astype(np.uint8)
-                keys = keys[at]
-                cuts = C.split(keys, buckets)
-                yield C.batch("bucket int, chunk long, hashes binary, counts binary", [(k, chunk.key, C.pack_sorted(tail(keys[cuts[k] : cuts[k + 1]])), C.pack(counts[cuts[k] : cuts[k + 1]])) for k in range(buckets)])
-
-    def classify(table: pa.Table) -> pa.Table:
-        rows = list(C.rows_of(table))
-        hashes = [C.unpack_sorted(x["hashes"], np.uint32) for x in rows]
-        counts = np.concatenate([C.unpack(x["counts"], np.uint8) for x in rows]).astype(np.int64)
-        joined = np.concatenate(hashes)
-        order = np.argsort(joined, kind="stable")
-        sorted_ = joined[order]
-        at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.empty(0, np.int64)
-        total = np.add.reduceat(counts[order], at) if len(at) else counts
-        kind = np.where(total == 1, SINGLE, np.where(total <= frequent, RARE, COMMON)).astype(np.uint8)
-        kinds = np.empty(len(joined), np.uint8)
-        kinds[order] = np.repeat(kind, np.diff(np.append(at, len(joined))))
-        out, begin = [], 0
-        for x, h in zip(rows, hashes):
-            out.append((x["bucket"], x["chunk"], C.pack(kinds[begin : begin + len(h)])))
-            begin += len(h)
-        return pa.Table.from_batches([C.batch("bucket int, chunk long, kinds binary", out)])
+    def short(tokens: np.ndarray) -> np.ndarray:
+        return tokens >> np.uint64(64 - bits)
+
+    def lists(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        keys = np.sort(short(np.concatenate([own for _, own, _, first in firsts(C.Chunk(row)) if first] or [np.empty(0, np.uint64)])))
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        yield 0, keys[at], np.diff(np.append(at, len(keys)))
+
+    def kind_of(_: int, total: np.ndarray) -> np.ndarray:
+        return np.where(total == 1, SINGLE, np.where(total <= frequent, RARE, COMMON)).astype(np.uint8)
 
     schema = "id long, n long, s1 long, s2 long, keys binary, tokens binary"
 
-    def index(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        answers = {x["bucket"]: C.unpack(x["kinds"], np.uint8) for x in C.rows_of(right)}
-        kinds = np.concatenate([answers[k] for k in range(buckets)]) if answers else np.empty(0, np.uint8)
+    def index(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = exchange.known(list(C.rows_of(right)), 0)
         out = []
         for row in C.rows_of(left):
             chunk = C.Chunk(row)
             rows = list(firsts(chunk))
-            known = np.unique(np.concatenate([own for _, own, _, first in rows if first] or [np.empty(0, np.uint64)]))
+            known = np.unique(short(np.concatenate([own for _, own, _, first in rows if first] or [np.empty(0, np.uint64)])))
             for i, own, s, first in rows:
-                keys = keys_of(own, kinds[np.searchsorted(known, own)], over, under, pair_prefix) if first else own[:0]
+                keys = keys_of(own, kinds[np.searchsorted(known, short(own))], over, under, part) if first else own[:0]
                 out.append((None if chunk.ids[i] == NULL_ID else int(chunk.ids[i]), len(own), *s, keys.tobytes() if len(keys) else None, own.tobytes() if len(keys) else None))
         return pa.Table.from_batches([C.batch(schema, out)])
 
-    answers = chunks.mapInArrow(send, "bucket int, chunk long, hashes binary, counts binary").groupBy("bucket").applyInArrow(classify, "bucket int, chunk long, kinds binary")
-    rows = common.materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(index, schema))
+    answers = exchange.totals(chunks, lists, {0: bits}, kind_of, fan)
+    rows = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("grp")).applyInArrow(index, schema))
 
     some = rows.filter("n > 0 and id is not null")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    classes = common.materialize(classes)
+    classes = materialize(classes)
     heads = some.filter("keys is not null").join(classes, ["n", "s1", "s2"])
     sets = heads.groupBy(F.col("rep").alias("id"), "n", "s1", "s2").agg(F.first("tokens").alias("tokens")).select("id", "tokens")  # several of an id whose texts differ
     again = some.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
@@ -269,14 +269,12 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
 
     keyed = heads.select("rep", "keys").mapInArrow(spread, "key long, id long").distinct()
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
-    keyed = common.materialize(keyed.join(shared, "key", "left_semi"))
+    keyed = materialize(keyed.join(shared, "key", "left_semi"))
     used = keyed.select("id").distinct()
-    sets = common.materialize(sets.join(used, "id", "left_semi"))
+    sets = materialize(sets.join(used, "id", "left_semi"))
 
-    def cross(comp: DataFrame | None) -> DataFrame:
+    def cross(comp: DataFrame) -> DataFrame:
         """Keys and ids that still lie in several components, with the component."""
-        if comp is None:
-            return keyed.withColumn("comp", F.col("id"))
         own = keyed.join(comp, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
         apart = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
         return own.join(apart, "key", "left_semi")
@@ -285,9 +283,9 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
 
     def add(pairs: DataFrame) -> None:
         nonlocal links, comp
-        found = common.materialize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        found = materialize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         links = found if links is None else links.union(found)
-        comp = graph.components(links)
+        comp = graph.components(links).select(F.col("vertex").alias("id"), "component_id")
 
     def led(open_: DataFrame, order: F.Column) -> DataFrame:
         """The first id of each key with the others of other components."""
@@ -295,18 +293,23 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
         leader = open_.groupBy("key").agg(F.min(pick).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.comp").alias("ca"))
         return open_.join(leader, "key").filter("comp <> ca").select("a", F.col("id").alias("b")).distinct()
 
-    for k in range(STARS):
-        found = verified(led(cross(comp), F.xxhash64("id", F.lit(k))), sets, over, under)
+    open_, k, left = keyed.withColumn("comp", F.col("id")), 0, None
+    while True:
+        found = verified(led(open_, F.xxhash64("id", F.lit(k))), sets, over, under)
         add(found if k else found.union(tied))
-    open_ = common.materialize(cross(comp))
+        open_, k, before = materialize(cross(comp)), k + 1, left
+        left = open_.count()
+        if k >= STARS and (left < OPEN or before is not None and left > (1 - SETTLED) * before):
+            break
     # every id of an open key is placed, those of its leader's component too: they may be near the others where the leader is not
     least = open_.groupBy("key").agg(F.min("id").alias("src"))
-    clusters = graph.components(open_.join(least, "key").select("src", F.col("id").alias("dst")).distinct()).withColumnRenamed("component_id", "cluster")
+    clusters = graph.components(open_.join(least, "key").select("src", F.col("id").alias("dst")).distinct()).select(F.col("vertex").alias("id"), F.col("component_id").alias("cluster"))
     placed = open_.join(clusters, "id")
     pairs_at_most = placed.groupBy("cluster", "key").agg(F.count("*").cast("double").alias("n")).groupBy("cluster").agg(F.sum(F.col("n") * F.col("n") / 2).alias("pairs"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m")).join(pairs_at_most, "cluster")
-    sizes = common.materialize(sizes.withColumn("dense", F.col("pairs") > F.col("m") * F.ceil(F.col("m") / BLOCK)))
-    dense = clusters.join(sizes.filter("dense"), "cluster").select("cluster", "id", "m")
+    parts = placed.select("cluster", "comp", "id").distinct().groupBy("cluster", "comp").agg(F.count("*").alias("m"))
+    sizes = parts.groupBy("cluster").agg(F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("inner")).join(pairs_at_most, "cluster")
+    sizes = materialize(sizes.withColumn("dense", F.col("pairs") > F.col("m") * F.ceil(F.col("m") / BLOCK)))
+    dense = placed.join(sizes.filter("dense"), "cluster").select("cluster", "id", "comp", "inner").distinct()
     sparse = placed.join(sizes.filter("not dense"), "cluster").select("key", "id", "comp")
     left = sparse.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
     pairs = sparse.join(left, "key").filter("ca <> comp and a < id").select("a", F.col("id").alias("b")).distinct()

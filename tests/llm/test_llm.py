@@ -173,8 +173,10 @@ def test_itq_recall_with_a_common_direction(offset, vectors):
     assert met.mean() >= 0.99
 
 
-def test_backoff(docs, texts):
-    got = by_id(backoff.score(docs, common.crc_mod("doc_id", 7) == 2))
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 1500, "fan": 4}])
+def test_backoff(docs, texts, monkeypatch, options):
+    monkeypatch.setattr(backoff, "SEGMENT", 256 if not options else 7)
+    got = by_id(backoff.score(docs, common.crc_mod("doc_id", 7) == 2, **options))
     tokens = [["<s>", *words(x), "</s>"] for x in texts]
     train = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2]
     c1, c2, c3 = (collections.Counter(g for t in train for g in f(t)) for f in (lambda t: t[1:], lambda t: zip(t, t[1:]), lambda t: zip(t, t[1:], t[2:])))
@@ -376,8 +378,9 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_repeats(spark, docs, texts):
-    got = by_id(repeats.digest(docs))
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 3000, "fan": 4}, {"chunk_bytes": 3000, "fan": 2, "hot": 2}, {"hot": 1}])
+def test_repeats(spark, docs, texts, options):
+    got = by_id(repeats.digest(docs, **options))
     brute = brute_repeats(texts, 50)
     for i, (b, gone) in enumerate(brute):
         kept = bytes(c for c, g in zip(b, gone) if not g)
@@ -407,13 +410,39 @@ def test_shingle_join(spark, docs, texts):
             for j, b in enumerate(sets):
                 if a and b and 100 * len(a & b) >= 85 * len(a | b):
                     root[i] = min(root[i], root[j])
-    for options in ({}, {"frequent": 2, "pair_prefix": 1000}, {"frequent": 2, "pair_prefix": 0}):
+    for options in ({}, {"frequent": 2, "chunk_bytes": 2000, "fan": 4}, {"frequent": 2, "part": 2}, {"frequent": 1, "part": 1000}):
         got = by_id(shingle_join.link(docs, **options))
         assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == [(len(s), r) for s, r in zip(sets, root)]
     assert len(set(root)) < len(root)
     assert shingle_join.link(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [(85, 100), (80, 100), (50, 100)])
+@pytest.mark.parametrize("part", [1, 3, 8])
+def test_keys_of_similar_sets_meet(threshold, part):
+    rng = np.random.default_rng(4)
+    over, under = threshold
+    for _ in range(150):
+        n = int(rng.integers(1, 400))
+        union = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        kinds = rng.choice([shingle_join.RARE, shingle_join.COMMON], len(union), p=rng.choice([[0, 1], [0.02, 0.98], [0.1, 0.9]])).astype(np.uint8)
+        shared = -(-len(union) * over // under)
+        a, b = union.copy(), union.copy()
+        apart = rng.permutation(len(union))[: len(union) - shared]
+        cut = int(rng.integers(0, len(apart) + 1))
+        a, ka = np.delete(a, apart[:cut]), np.delete(kinds, apart[:cut])
+        b, kb = np.delete(b, apart[cut:]), np.delete(kinds, apart[cut:])
+        ka, kb = ka.copy(), kb.copy()
+        ka[~np.isin(a, b)] = rng.choice([0, 1, 2])  # tokens that only one of them has may be of any class
+        kb[~np.isin(b, a)] = rng.choice([0, 1, 2])
+        if not len(a) or not len(b) or len(a) == len(b) == shared:
+            continue
+        one, two = (shingle_join.keys_of(x, k, over, under, part) for x, k in ((a, ka), (b, kb)))
+        assert len(np.intersect1d(one, two)), (len(a), len(b), shared)
+    long_ = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64))
+    assert len(shingle_join.keys_of(long_, np.full(len(long_), 2, np.uint8), over, under, 8)) < 24 * len(long_)
+
+
 def test_dense_clusters(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "BLOCK", 8)
     rng = random.Random(6)
