@@ -45,7 +45,7 @@ from linkspark.operators.storage import materialize
 
 LENGTH = 50
 SEED = 26
-STEP = 3 << 19
+STEP = 3 << 18
 #: Surroundings that one suffix array holds, about.
 ROWS = 1 << 15
 NULL_ID = np.iinfo(np.int64).max
@@ -213,6 +213,15 @@ def covered(begins: np.ndarray, n: int, length: int) -> np.ndarray:
     return out
 
 
+def flagged(flags: np.ndarray, chunk: C.Chunk) -> np.ndarray:
+    """Number of flagged bytes in each text, some texts at a time."""
+    out = np.zeros(len(chunk.ids), np.int64)
+    for a, b in chunk.steps(1 << 20):
+        base = chunk.starts[a]
+        out[a:b] = common.row_sums(flags[base : chunk.starts[b]].astype(np.int64), chunk.starts[a : b + 1] - base)
+    return out
+
+
 def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT, fan: int = exchange.FAN) -> DataFrame:
     """(chunk, starts binary): places of a chunk's bytes where a string starts that a smaller id has."""
     assert 8 <= seed <= length <= seed + 31 and length < 256
@@ -390,12 +399,12 @@ def digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: s
         for row in C.rows_of(left):
             chunk = C.Chunk(row)
             gone = removed_flags(chunk, right, length)
-            counts = common.row_sums(gone.astype(np.int64), chunk.starts)
+            counts = flagged(gone, chunk)
             begin = gone.copy()
             begin[1:] &= ~gone[:-1]
             edge = chunk.starts[:-1][np.diff(chunk.starts) > 0]
             begin[edge] = gone[edge]
-            spans = common.row_sums(begin.astype(np.int64), chunk.starts)
+            spans = flagged(begin, chunk)
             for i, (a, b) in enumerate(zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist())):
                 own = chunk.data[a:b]
                 own = own[~gone[a:b]] if counts[i] else own
@@ -424,7 +433,7 @@ def strip(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: st
         for row in C.rows_of(left):
             chunk = C.Chunk(row)
             gone = removed_flags(chunk, right, length)
-            counts = common.row_sums(gone.astype(np.int64), chunk.starts)
+            counts = flagged(gone, chunk)
             texts = []
             for i, (a, b) in enumerate(zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist())):
                 own = chunk.data[a:b]
