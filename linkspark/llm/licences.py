@@ -1,20 +1,27 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text.  Their features are the words and word pairs (lower
-case, without punctuation at the ends) that the templates hold; a multinomial logistic
-regression with ridge penalty over these sparse features gives a probability to each
-licence family and to ``unknown``.  It is trained here, by gradient steps on the driver,
-on the templates, on variants of them (parts, other versions and holders, added words)
-and, as unknown, on sentences that speak of licences without naming one and on a bounded
-sample of the corpus' own paragraphs.  A temperature is fitted on variants left out of
+The unit is the line, as texts come with one paragraph or one wrapped piece of it on each.
+Features of a line are the words and word pairs (lower case, without punctuation at the
+ends) that the templates hold; a multinomial logistic regression with ridge penalty over
+these sparse features gives a probability to each licence family and to ``unknown``.  It is
+trained here, by gradient steps on the driver, on the templates, on variants of them
+(parts, other versions and holders, added words) and, as unknown, on sentences that speak
+of licences without naming one and on a bounded sample of the corpus' own lines: of up to
+``sample`` / 4 documents, up to ``sample`` lines of at most ``longest`` characters, both those with the
+least hashes.  Sampled lines that have much in common with a template are left out, as a
+corpus may be full of licences.  A temperature is fitted on variants left out of
 the training, so that probabilities are calibrated.
 
-A paragraph whose likeliest family has at least ``least`` probability is a candidate.  It
-is confirmed if it and a template of that family share enough: the words in common, in
-order, over the words of the shorter of both.
+A line whose likeliest family has at least ``least`` probability is a candidate.  It is
+confirmed if a template of that family is found where it stands: around the line, over the
+lines of the same paragraph (up to an empty line), the part of the text that is nearest to the template
+is looked for, by edit distance over words.  Similarity is 1 less that distance over the template's
+weight.  Words too many cost 1; missing or other words cost their weight in the template, which is
+``MAIN`` for words that no other family's templates have, else 1.
 
 Defined results: null, empty and wordless texts have no paragraphs; repeated rows each
-give a row; ties between families go to the first by name; an empty table gives no rows.
+give a row; ties between families go to the first by name, between templates to any, as only their
+similarity is told; an empty table gives no rows; only the two named columns are read, and the id keeps its name and type.
 """
 
 from __future__ import annotations
@@ -32,8 +39,12 @@ from linkspark.llm import common
 
 UNKNOWN = "unknown"
 LEAST = 0.6
-SHARED = 0.7
+SHARED = 0.75
+MAIN = 3.0
 SAMPLE = 2000
+LONGEST = 2000
+#: Word pairs of a template, in number or share, from which on a sampled line is no negative example.
+LIKE_PAIRS, LIKE_SHARE = 3, 0.4
 #: How texts state licences of each family.
 TEMPLATES: dict[str, list[str]] = {
     "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3."],
@@ -157,34 +168,80 @@ def train(templates: dict[str, list[str]], negatives: list[str], ridge: float =
     return model
 
 
-def common_in_order(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+def weights_of(templates: dict[str, list[list[str]]]) -> dict[str, list[list[float]]]:
+    """The weight of each word of each template."""
+    families: dict[str, set[str]] = {}
+    for f, ts in templates.items():
+        for t in ts:
+            for w in t:
+                families.setdefault(w, set()).add(f)
+    return {f: [[MAIN if len(families[w]) == 1 else 1.0 for w in t] for t in ts] for f, ts in templates.items()}
 
 
-def similarity(paragraph: list[str], template: list[str]) -> float:
-    """Common words in order over the words of the shorter; a paragraph much longer than the template is searched around its words."""
-    if not paragraph or not template:
+def similarity(words: list[str], template: list[str], weights: list[float]) -> float:
+    """1 less the least weighted edit distance between the template and any run of the words, over the template's weight."""
+    total = sum(weights)
+    if not total:
         return 0.0
-    if len(paragraph) > 4 * len(template):
-        inside = set(template)
-        paragraph = [w for w in paragraph if w in inside]
-    return common_in_order(paragraph, template) / max(1, min(len(paragraph), len(template)))
+    weight = np.asarray(weights)
+    down = np.concatenate([[0.0], np.cumsum(weight)])  # the template's first words are all missing
+    row = down.copy()
+    least = row[-1]
+    same = {w: np.array([w != x for x in template]) * weight for w in set(words)}
+    for w in words:
+        step = np.empty_like(row)
+        step[0] = 0.0  # a run may begin anywhere
+        step[1:] = np.minimum(row[1:] + 1.0, row[:-1] + same[w])
+        row = np.minimum.accumulate(step - down) + down  # missing words of the template
+        least = min(least, row[-1])
+    return float(max(0.0, 1 - least / total))
+
+
+def resembles(words: list[str], pairs: dict[tuple[str, str], list[int]], sizes: list[int]) -> bool:
+    """Whether a line has much in common with a template.  pairs: which templates have a word pair; sizes: how many pairs each has."""
+    met: dict[int, int] = {}
+    for p in set(zip(words, words[1:])):
+        for k in pairs.get(p, ()):
+            met[k] = met.get(k, 0) + 1
+    return any(n >= LIKE_PAIRS or n >= LIKE_SHARE * sizes[k] for k, n in met.items())
+
+
+def negatives_of(lines: list[str], templates: dict[str, list[list[str]]]) -> list[str]:
+    """The lines that can stand for unknown."""
+    speaks = re.compile(r"licen[sc]e|copyright|public domain|creative commons", re.I)
+    pairs: dict[tuple[str, str], list[int]] = {}
+    sizes = []
+    for k, t in enumerate(t for ts in templates.values() for t in ts):
+        own = set(zip(t, t[1:]))
+        sizes.append(max(len(own), 1))
+        for p in own:
+            pairs.setdefault(p, []).append(k)
+    return [x for x in lines if not speaks.search(x) and not resembles(tokens(x), pairs, sizes)]
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample: int = SAMPLE, least: float = LEAST, shared: float = SHARED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample: int = SAMPLE, least: float = LEAST, shared: float = SHARED, longest: int = LONGEST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: id, n_paragraphs, and findings: (paragraph from 0, family, probability, similarity, confirmed, text)."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    lines = common.sampled(rows, sample // 4).filter("text is not null").select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line")).filter("length(line) between 1 and 2000")
-    negatives = [r["line"] for r in lines.collect()]
-    speaks = re.compile(r"licen[sc]e|copyright|public domain|creative commons", re.I)
-    model = train(templates, OTHERS * 4 + [x for x in negatives if not speaks.search(x)])
+    lines = common.sampled(rows, sample // 4).select(F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line")).filter(F.length("line").between(1, longest))
+    lines = lines.select("line", F.xxhash64("line", "place").alias("h")).orderBy("h", "line").limit(sample)
     own = {f: [tokens(t) for t in ts] for f, ts in templates.items()}
+    weights = weights_of(own)
+    model = train(templates, OTHERS * 4 + negatives_of([r["line"] for r in lines.collect()], own))
+    reach = max((len(t) for ts in own.values() for t in ts), default=0)
+
+    def around(lines: pa.Array, at: int, first: int, last: int) -> list[str]:
+        """Words of a line and of those before and after it in its paragraph, as far as a template can reach."""
+        words = tokens(lines[at].as_py())
+        for step, end in ((-1, first - 1), (1, last)):
+            k, more = at + step, []
+            while k != end and len(more) < reach:
+                one = tokens(lines[k].as_py())
+                if not one:
+                    break
+                more = one + more if step < 0 else more + one
+                k += step
+            words = more[-reach:] + words if step < 0 else words + more[:reach]
+        return words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(model.words, pa.large_string())
@@ -203,12 +260,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample: i
             p = model.probabilities(logits) if len(some) else np.empty((0, len(model.families)))
             best = p.argmax(1) if len(some) else np.empty(0, int)
             findings: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            first = np.searchsorted(owner, np.arange(batch.num_rows))
+            first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             for k in np.flatnonzero((best > 0) & (p.max(1, initial=0) >= least)):
                 line = int(some[k])
                 text = lines[line].as_py()
                 family = model.families[best[k]]
-                like = max(similarity(tokens(text), t) for t in own[family])
+                near = around(lines, line, int(first[owner[line]]), int(first[owner[line] + 1]))
+                like = max(similarity(near, t, w) for t, w in zip(own[family], weights[family]))
                 findings[owner[line]].append({"paragraph": line - int(first[owner[line]]), "family": family, "probability": float(p[k, best[k]]), "similarity": like, "confirmed": like >= shared, "text": text})
             n = np.bincount(owner[full], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(findings, kind)], names=["id", "n_paragraphs", "findings"])
