@@ -9,12 +9,13 @@ per n-gram and language, so that a batch of texts is scored by one (sparse) matr
 product of presence and weights.
 
 Learning takes at most ``per_language`` labelled texts of each language, those with the
-least hash of their id; of these, ``landmarks`` are landmarks.  Counts and predictions
-cover whole texts.
+least hash of their id and text (equal rows count once); of these, ``landmarks`` are landmarks.
+Counts and predictions cover whole texts.
 
 Defined results: null text or a text without a letter is ``und`` with score 0; without
 any labelled text all are ``und``; ties go to the first language in order of name; every
-input row gives one row.
+input row gives one row, repeated ids too; the carried columns keep their names, and other columns
+than these, the text and, for learning, the label are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ PER_LANGUAGE = 300
 LANDMARKS = 60
 RIDGE = 1e-2
 SHARPNESS = 6.0
+BLOCK = 64  # texts of one matrix product
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[:0x80] = 0x20
 FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -57,23 +59,22 @@ class Model:
     """codes: sorted n-grams; weights: n-grams x languages; languages."""
 
     def __init__(self, codes: np.ndarray, weights: np.ndarray, languages: list[str]):
-        self.codes, self.weights, self.languages = codes, weights, languages
+        self.codes, self.weights, self.languages = codes, weights.astype(np.float32), languages
 
     def decide(self, texts: pa.Array) -> np.ndarray:
         """Regression values, texts x languages."""
-        sizes, found, ends = [], [], []
+        sizes, found = [], []
         for data in folded(texts):
             own = grams(data)
             at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
-            hit = at[self.codes[at] == own]
-            found.append(hit)
-            ends.append(len(hit))
+            found.append(at[self.codes[at] == own])
             sizes.append(max(len(own), 1))
-        starts = np.concatenate([[0], np.cumsum(ends)])
-        present = np.concatenate(found) if found else np.empty(0, np.int64)
         out = np.empty((len(sizes), len(self.languages)))
-        for k in range(len(self.languages)):
-            out[:, k] = common.row_sums(self.weights[present, k], starts)
+        for at in range(0, len(sizes), BLOCK):
+            some = found[at : at + BLOCK]
+            present = np.zeros((len(some), len(self.codes)), np.float32)
+            present[np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some)] = 1
+            out[at : at + len(some)] = present @ self.weights
         return out / np.sqrt(np.asarray(sizes, float))[:, None]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -115,12 +116,13 @@ def solve(sets: list[np.ndarray], labels: list[str], is_landmark: list[bool], ri
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model | None:
     """Learn from rows with text and label.  At most languages x per_language n-gram sets come to the driver."""
     rows = labelled.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("lang")).filter("text is not null and lang is not null")
-    order = F.xxhash64("id")
-    keys = rows.select("id", "lang", order.alias("h"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(64)).alias("salt"))
-    near = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "id"))).filter(F.col("r") <= per_language)
-    picked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= per_language)
-    picked = picked.groupBy("id").agg(F.min("r").alias("r"))
-    used = rows.join(F.broadcast(picked), "id").select("id", "lang", "r", F.lower("text").alias("text"))
+    ways = 1 << 40
+    placed = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(ways)))
+    share = F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n"))  # few rows lie below, however many there are
+    bound = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * ways).cast("long").alias("bound"))
+    near = placed.join(F.broadcast(bound), "lang").filter("h <= bound").dropDuplicates(["lang", "h"])
+    used = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
+    used = used.select("id", "lang", "r", F.lower("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, "text"):
