@@ -3,20 +3,20 @@
 Documents keep the order of the input partitions.  Each input partition is one
 stream of tokens: the ids of a document, then an end id, and so on.  A dynamic
 program chooses the cuts of the stream.  It may cut at document ends (free), at
-sentence ends (``sentence_cost``) and, inside sentences longer than
-``max_unit`` tokens, at regular places (``inner_cost``).  A window of L tokens
-costs the padding, ``window - L``, plus ``window_cost``.  The best start of a
-window is the least ``cost[i] + position[i]`` over a sliding range, so a monotone
-queue gives each transition in constant time.  A sequence whose length is a power
-of two needs no padding; the rest of a stream is cut into such lengths where the
-padding saved is more than the cuts cost.
+sentence ends (``sentence_cost``) and, inside units of more than ``max_unit`` tokens
+without a sentence end, at regular places (``inner_cost``).  A window of L tokens
+costs the padding, ``window - L``, or none if L is a power of two of at least ``least_power``, plus ``window_cost``.
+The best start of a padded window is the least ``cost[i] + position[i]`` over a sliding range, so a
+monotone queue gives each transition in constant time; the few starts at a power of
+two before a place are tried one by one.  The rest of a stream is cut into powers
+of two where the padding saved is more than the cuts cost.
 
 A stream is solved in blocks of ``block_tokens`` tokens.  All windows of a block
 but the last are final; the last one's tokens open the next block.  Memory is
 bounded by a block and the longest document.  Nothing is shuffled.
 
 Defined results: a null or empty text is the end id alone; repeated documents and
-repeated or null doc_ids are packed once per row; an empty table gives no rows;
+repeated or null doc_ids are packed once per row; of equally cheap cuts the later starts win; an empty table gives no rows;
 columns other than the two named ones are ignored.
 """
 
@@ -88,10 +88,17 @@ def whole(tokenizer: WordTokenizer, texts: pa.Array) -> list[tuple[np.ndarray, n
     return out
 
 
-def choose_cuts(places: np.ndarray, costs: np.ndarray, window: int, window_cost: float) -> list[int]:
+def choose_cuts(places: np.ndarray, costs: np.ndarray, window: int, window_cost: float, least_power: int = 256) -> list[int]:
     """Indices of the places at which the cheapest windows end.  places begins with 0 and rises by at most window."""
     where, extra = places.tolist(), (costs + window_cost + window).tolist()
-    came = [0] * len(where)
+    exact: dict[int, list[int]] = {}  # starts from which a window has a power of two of tokens
+    power = least_power
+    while power < window:
+        at = np.minimum(np.searchsorted(places, places - power), len(places) - 1)
+        for j in np.flatnonzero((places[at] == places - power) & (places >= power)).tolist():
+            exact.setdefault(j, []).append(int(at[j]))
+        power *= 2
+    came, keys = [0] * len(where), [0.0] * len(where)
     # (least cost of a prefix plus its length, its place, its index): a window's padding is linear in where it starts
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])
     first, pop, append = queue.popleft, queue.pop, queue.append
@@ -103,6 +110,12 @@ def choose_cuts(places: np.ndarray, costs: np.ndarray, window: int, window_cost:
             key, low_at, i = queue[0]
         came[j] = i
         new = key + extra[j]  # the cost, key - t + extra, plus t
+        if j in exact:
+            for k in exact[j]:
+                other = keys[k] - where[k] + extra[j] - window + t
+                if other < new:
+                    new, came[j] = other, k
+        keys[j] = new
         while queue and queue[-1][0] >= new:
             pop()
         append((new, t, j))
@@ -198,9 +211,9 @@ def pack(
     window: int = WINDOW,
     end_id: int = END_ID,
     sentence_cost: float = 2.0,
-    inner_cost: float = 12.0,
+    inner_cost: float = 48.0,
     window_cost: float = 4.0,
-    max_unit: int = 32,
+    max_unit: int = 1024,
     block_tokens: int = 1 << 20,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -209,7 +222,8 @@ def pack(
 
     vocabulary: a file of the tokenizers library that all executors can open.
     """
-    assert window > 1 and max_unit <= window
+    assert window > 1
+    max_unit = min(max_unit, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(vocabulary)

@@ -80,14 +80,15 @@ def test_packing(docs, texts):
 
 def test_packing_is_optimal():
     rng = random.Random(1)
-    for _ in range(20):
+    padding = lambda n: 0 if n in (4, 8, 16) else 16 - n
+    for _ in range(200):
         places = np.concatenate([[0], np.cumsum([rng.randint(1, 9) for _ in range(12)])])
         costs = np.array([0.0] + [rng.choice([0.0, 2.0, 5.0]) for _ in range(12)])
         best = [0.0] + [math.inf] * 12
         for j in range(1, 13):
-            best[j] = min(best[i] + 16 - (places[j] - places[i]) + costs[j] + 1 for i in range(j) if places[j] - places[i] <= 16)
-        cuts = [0, *packing.choose_cuts(places, costs, 16, 1.0)]
-        cost = sum(16 - (places[b] - places[a]) + costs[b] + 1 for a, b in zip(cuts, cuts[1:]))
+            best[j] = min(best[i] + padding(places[j] - places[i]) + costs[j] + 1 for i in range(j) if places[j] - places[i] <= 16)
+        cuts = [0, *packing.choose_cuts(places, costs, 16, 1.0, 4)]
+        cost = sum(padding(places[b] - places[a]) + costs[b] + 1 for a, b in zip(cuts, cuts[1:]))
         assert cost == pytest.approx(best[12])
 
 
@@ -132,6 +133,50 @@ def test_licences(spark, docs):
     assert not any(got.values())
 
 
+NEGATIVES = [
+    "The report was written under the eyes of the board by a clerk who had no idea of the matter and was paid for it all the same by the town.",
+    "You may obtain a copy of the report", "Released under the new management.", "Licensed under the county rules, version two.", "This work is dedicated to my mother.",
+    "Permission is hereby granted to enter the hall.", "This program is shown on Sundays.", "The source code is in the public library.", "Use of this door is governed by the house rules.",
+    "Redistribution of wealth is a subject of debate.", "This is free and open land.",
+]
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+
+
+def test_licences_among_many(spark):
+    rows = [(k, x) for k, x in enumerate(NEGATIVES)] + [(100 + k, MIT) for k in range(300)] + [(400 + k, BSD) for k in range(300)]
+    rng = random.Random(1)
+    rows += [(1000 + k, " ".join(rng.choice("the of a house river was by under and copy work free terms old men walked to".split()) for _ in range(20))) for k in range(1200)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: {f["family"] for f in r["findings"] if f["confirmed"]} for r in found.collect()}
+    for i, _ in rows:
+        assert got[i] == ({"mit"} if 100 <= i < 400 else {"bsd"} if 400 <= i < 1000 else set()), (i, got[i])
+    odd = spark.createDataFrame([(None, None, 1), ("a", "", 2), ("a", NEGATIVES[0] * 400, 3)], "doc_id string, text string, findings int")
+    assert [r["doc_id"] for r in licences.scan(odd).orderBy("doc_id").collect()] == [None, "a", "a"] and licences.scan(odd.limit(0)).count() == 0
+
+
+def test_licence_similarity_against_plain_distance():
+    rng = random.Random(2)
+
+    def distance(a, b, weights):
+        row = [0.0]
+        for w in weights:
+            row.append(row[-1] + w)
+        for x in a:
+            last, row[0] = row[0], row[0] + 1
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + weights[j - 1], last + (weights[j - 1] if x != y else 0))
+        return row[-1]
+
+    for _ in range(60):
+        words_, template = ([rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        weights = [rng.choice([1.0, 3.0]) for _ in template]
+        best = min((distance(words_[i:j], template, weights) for i in range(len(words_) + 1) for j in range(i, len(words_) + 1)), default=0)
+        assert licences.similarity(words_, template, weights) == pytest.approx(max(0, 1 - best / sum(weights)) if template else 0)
+
+
 def test_itq(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 32))
@@ -215,6 +260,9 @@ def test_langid(spark):
     assert np.mean([got[i]["lang_pred"] == lang for i, _, lang in held]) > 0.98
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902, 903))
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    many = df.filter("doc_id = 8").crossJoin(spark.range(2000)).drop("id").union(df.filter("doc_id % 2 = 0")).withColumn("score", df.doc_id)
+    again = langid.fit(many, per_language=30, landmarks=10)  # rows of one id, and a column of another use
+    assert np.mean([r["lang_pred"] == dict((i, x) for i, _, x in held)[r["doc_id"]] for r in langid.predict(many.unionByName(df.withColumn("score", df.doc_id)), again).collect() if r["doc_id"] in [h[0] for h in held]]) > 0.95
     assert langid.fit(df.limit(0)) is None and set(r["lang_pred"] for r in langid.predict(df, None).collect()) == {"und"}
 
 
