@@ -15,9 +15,13 @@ Centring would widen the angles of vectors with a common direction and lose link
 substrings grow with the logarithm of the number of vectors, so buckets stay small
 unless vectors share a direction; then buckets are larger and cost more comparisons.
 
-Rerank: members of a bucket are compared by cosine of the original vectors in double
-precision, in blocks.  A pair that meets in several tables counts in the first.  Buckets
-of more than ``shard`` vectors are dealt to several tasks, a pair of shards each.  A task
+Filter: what is sent to the tables is a number and the code of each vector, not the vector.
+Members of a bucket are compared by the Hamming distance of their whole codes, and only those
+with a partner within ``DEVIATIONS`` standard deviations of what is expected at the threshold go on.
+Buckets of more than ``shard`` vectors are dealt to several tasks, a pair of shards each.
+
+Rerank: these members get their original vectors and are compared by cosine in double
+precision, in blocks.  A pair that meets in several tables counts in the first.  A task
 returns counts of links and a spanning forest of them, never all pairs.
 
 Equal vectors with equal labels are compared once and carry their number.
@@ -25,7 +29,8 @@ Equal vectors with equal labels are compared once and carry their number.
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
 rows with null label, link with nothing and are their own component; vectors of another
 length than most (the sample's commonest) are compared exactly among their own length;
-repeated vec_ids are taken as different rows of one id; an empty table gives no rows.
+rows that repeat a vec_id are vectors of their own, each with its links; an empty table
+gives no rows; only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -48,6 +53,7 @@ THRESHOLD = 0.93
 SAMPLE = 20_000
 ROUNDS = 30
 MISS = 0.002
+DEVIATIONS = 5.0
 SHARD = 2048
 BUCKET = 64  # vectors that a bucket should hold on average, at most
 
@@ -90,6 +96,38 @@ def substrings(unit: np.ndarray, turns: np.ndarray, bits: int, tables: int) -> n
     return out
 
 
+def codes_of(unit: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """All bits of each vector, 64 to a number."""
+    signs = np.concatenate([unit @ t >= 0 for t in turns], 1)
+    packed = np.packbits(signs, axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
+
+def radius(bits: int, threshold: float) -> int:
+    """Hamming distance of whole codes that pairs at the threshold hardly ever exceed."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
+def alive(codes: np.ndarray, first: np.ndarray, second: np.ndarray, limit: int, block: int = 512) -> np.ndarray:
+    """Flags of the rows that have a partner within the limit, between rows `first` and `second` (the same rows, or none in common)."""
+    out = np.zeros(len(codes), bool)
+    alike = first is second
+    for at in range(0, len(first), block):
+        a = first[at : at + block]
+        for to in range(at if alike else 0, len(second), block):
+            b = second[to : to + block]
+            near = np.zeros((len(a), len(b)), np.uint16)
+            for k in range(codes.shape[1]):
+                near += np.bitwise_count(codes[a, k][:, None] ^ codes[b, k][None, :])
+            near = near <= limit
+            if alike and at == to:
+                near &= np.arange(len(a))[:, None] != np.arange(len(b))[None, :]
+            out[a] |= near.any(1)
+            out[b] |= near.any(0)
+    return out
+
+
 def compare(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, keys: np.ndarray, table: int, threshold: float, first: np.ndarray, second: np.ndarray, block: int = 512) -> tuple[list, list]:
     """Links between rows `first` and `second` (the same rows, or none in common) that no earlier table has: (id, partners' number), (id, id)."""
     counts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -127,76 +165,95 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"), F.col(label_column).alias("label"))
     good = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
+    kind = vectors.schema[label_column].dataType.simpleString()
     valid = rows.filter(good)
-    classes = materialize(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")))
+    hashes = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(1), "v", "label").alias("h2")]
+    grouped = valid.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"))
+    classes = materialize(grouped.select("*", *hashes, F.monotonically_increasing_id().alias("id")))
     total, dim = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").select("n", "dim").first() or (0, 1)
     bits, tables = plan(total, dim, threshold, miss)
-    picked = common.sampled(classes.filter(F.size("v") == dim), sample, "id", total).select("v").toArrow().column("v").combine_chunks()
+    picked = common.sampled(classes.filter(F.size("v") == dim), sample, "h1", total).select("v").toArrow().column("v").combine_chunks()
     picked = picked.chunk(0) if isinstance(picked, pa.ChunkedArray) and picked.num_chunks else picked
     turns = rotations(_unit(picked) if len(picked) else np.empty((0, dim)), math.ceil(tables / (dim // bits)))
+    limit = radius(turns.shape[0] * dim, threshold)
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.asarray(batch.column("v").value_lengths())
             for n in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == n))
-                own = substrings(_unit(part.column("v")), turns, bits, tables) if n == dim else np.full((part.num_rows, 1), -int(n), np.int64)
-                for at in range(0, part.num_rows, 256):  # a table's worth of copies at a time
-                    some = part.slice(at, 256)
-                    k = own.shape[1]
-                    again = pa.array(np.repeat(np.arange(some.num_rows), k))
-                    keys = own[at : at + 256].reshape(-1)
-                    cols = [some.column(c).take(again) for c in ("label", "id", "size", "v")]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(k, dtype=np.int32), some.num_rows)), pa.array(keys)], names=["label", "id", "size", "v", "t", "key"])
-
-    schema = f"label {classes.schema['label'].dataType.simpleString()}, id long, size long, v array<double>, t int, key long"
-    keyed = classes.mapInArrow(key_rows, schema)
-    slim = classes.select("label", "id", "size", "v").mapInArrow(key_rows, schema).groupBy("label", "t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keyed.join(slim, ["label", "t", "key"])
-    shards = F.ceil(F.col("n") / shard).cast("int")
-    met = met.withColumn("shards", shards).withColumn("own", F.pmod(F.xxhash64("id", "t"), F.col("shards")).cast("int"))
-    pairs = F.when(F.col("shards") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("shards") - 1))
-    dealt = met.select("label", "t", "key", "id", "size", "v", "own", F.explode(pairs).alias("other"))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+                if n == dim:
+                    unit = _unit(part.column("v"))
+                    own, codes = substrings(unit, turns, bits, tables), codes_of(unit, turns)
+                else:  # one table for a length, and codes that tell nothing
+                    own, codes = np.full((part.num_rows, 1), -int(n), np.int64), np.zeros((part.num_rows, 1), np.uint64)
+                k = own.shape[1]
+                again = pa.array(np.repeat(np.arange(part.num_rows), k))
+                code = pa.array([x.tobytes() for x in codes], pa.binary())
+                cols = [*(part.column(c).take(again) for c in ("label", "id", "size")), code.take(again)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(k, dtype=np.int32), part.num_rows)), pa.array(own.reshape(-1))], names=["label", "id", "size", "code", "t", "key"])
+
+    keyed = materialize(classes.select("label", "id", "size", "v").mapInArrow(key_rows, f"label {kind}, id long, size long, code binary, t int, key long"))
+    met = keyed.join(keyed.groupBy("label", "t", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["label", "t", "key"])
+    met = met.withColumn("shards", F.ceil(F.col("n") / shard).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", "t"), F.col("shards")).cast("int"))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     place = ["label", "t", "key", "low", "high"]
-    dealt = dealt.withColumn("place", F.xxhash64(*place)).repartition("place").sortWithinPartitions("place", *place, "id")
+    dealt = dealt.select("label", "t", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "size", "own", "code")
+    carried = f"label {kind}, t int, key long, low int, high int, id long, size long, own int"
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:  # batches end where a place ends
-            if not batch.num_rows:
-                continue
-            marks = np.asarray(batch.column("place"))
-            cut = int(np.searchsorted(marks, marks[-1]))
-            if last is not None and marks[0] != last and held:
-                yield from done(held)
-                held = []
-            if cut:
-                yield from done([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-            last = marks[-1]
-        if held:
-            yield from done(held)
-
-    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(parts).combine_chunks()
-        col = lambda c: got.column(c).chunk(0)
-        ids, sizes, own = (np.asarray(col(c)) for c in ("id", "size", "own"))
-        names = list(zip(*[col(c).to_pylist() for c in place]))
+    def together(df: DataFrame) -> DataFrame:
+        """Rows of a place one after the other in one partition."""
+        return df.withColumn("place", F.xxhash64(*place)).repartition("place").sortWithinPartitions("place", *place, "id")
+
+    def by_place(done):
+        """Call done with whole places, some of them at once."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            last = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                marks = np.asarray(batch.column("place"))
+                cut = int(np.searchsorted(marks, marks[-1]))
+                if last is not None and marks[0] != last and held:
+                    yield from done(*places_of(held))
+                    held = []
+                if cut:
+                    yield from done(*places_of([*held, batch.slice(0, cut)]))
+                    held = []
+                held.append(batch.slice(cut))
+                last = marks[-1]
+            if held:
+                yield from done(*places_of(held))
+
+        return run
+
+    def places_of(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[tuple[int, int, tuple]]]:
+        got = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        names = list(zip(*[got.column(c).to_pylist() for c in place]))
         bounds = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
-        lengths = np.asarray(col("v").value_lengths())
+        return got, [(a, b, names[a]) for a, b in zip(bounds[:-1], bounds[1:]) if b - a > 1]
+
+    def sides(own: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(own == low)
+        return first, first if low == high else np.flatnonzero(own == high)
+
+    def near(got: pa.RecordBatch, spans: list) -> Iterator[pa.RecordBatch]:
+        own, keep = np.asarray(got.column("own")), np.zeros(got.num_rows, bool)
+        for a, b, (_, _, _, low, high) in spans:
+            codes = np.frombuffer(b"".join(got.column("code").slice(a, b - a).to_pylist()), np.uint64).reshape(b - a, -1)
+            keep[a:b] = alive(codes, *sides(own[a:b], low, high), limit)
+        yield got.filter(pa.array(keep)).select([x.split()[0] for x in carried.split(", ")])
+
+    def verify(got: pa.RecordBatch, spans: list) -> Iterator[pa.RecordBatch]:
+        ids, sizes, own = (np.asarray(got.column(c)) for c in ("id", "size", "own"))
+        lengths = np.asarray(got.column("v").value_lengths())
         counts, links = [], []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if b - a < 2:
-                continue
-            _, table, key, low, high = names[a]
-            unit = _unit(col("v").slice(a, b - a))
+        for a, b, (_, table, key, low, high) in spans:
+            unit = _unit(got.column("v").slice(a, b - a))
             keys = substrings(unit, turns, bits, table) if table and key >= 0 and lengths[a] == dim else None
-            first = np.flatnonzero(own[a:b] == low)
-            second = first if low == high else np.flatnonzero(own[a:b] == high)
-            c, x = compare(ids[a:b], sizes[a:b], unit, keys, table, threshold, first, second)
+            c, x = compare(ids[a:b], sizes[a:b], unit, keys, table, threshold, *sides(own[a:b], low, high))
             counts += c
             links += x
         if counts:
@@ -207,11 +264,21 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
             tree = forest(i, j)
             yield pa.RecordBatch.from_arrays([pa.array(i[tree]), pa.array(np.zeros(int(tree.sum()), np.int64)), pa.array(j[tree])], names=["id", "n", "to"])
 
-    found = materialize(dealt.mapInArrow(verify, "id long, n long, to long"))
+    live = together(dealt).mapInArrow(by_place(near), carried)
+    reranked = together(live.join(classes.select("id", "v"), "id"))
+    found = materialize(reranked.mapInArrow(by_place(verify), "id long, n long, to long"))
     counts = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("others"))
     roots = graph.components(found.filter("to is not null").select(F.col("id").alias("src"), F.col("to").alias("dst")))
-    by_class = classes.join(counts, "id", "left").join(roots, "id", "left").select("label", "v", "id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    linked = valid.join(by_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    named = classes.drop("v").join(counts, "id", "left").join(roots, classes["id"] == roots["vertex"], "left").withColumn("root", F.coalesce("component_id", "id"))
+    least = named.groupBy("root").agg(F.min("vec_id").alias("least"))
+    by_class = named.select("root", "size", "h1", "h2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")).join(least, "root").drop("root")
+    by_class = materialize(by_class)
+    # rows get their class; classes of very many rows are few, so they go to all tasks
+    keys, many = valid.select("vec_id", *hashes), max(1000, (by_class.agg(F.sum("size")).first()[0] or 0) // 1000)
+    large = F.broadcast(by_class.filter(F.col("size") > many).drop("size"))
+    small = by_class.filter(F.col("size") <= many).drop("size")
+    linked = keys.join(large, ["h1", "h2"]).union(keys.join(F.broadcast(large.select("h1", "h2")), ["h1", "h2"], "left_anti").join(small, ["h1", "h2"]))
+    linked = linked.select("vec_id", "n_links", F.col("least").alias("component_id"))
     alone = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
