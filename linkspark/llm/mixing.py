@@ -1,28 +1,35 @@
 """Mixing documents to target weights of domains, by DataFrame functions alone.
 
-1. A table of labelled documents trains a naive Bayes classifier.  Its features are, for
-   each domain, whether a text holds a word of the domain's lexicon (words that are
-   commoner in it, by log odds, learned from the labels too), and the bins of the shares
-   of symbols and of capitals.  It gives each document a posterior over the domains.
+1. A table of labelled documents trains a multinomial naive Bayes classifier.  Its features
+   are all words of a text (lower case; hashed to ``HASHES`` buckets) and the bins of its
+   shares of symbols and of capitals.  Sums of log odds of long texts are far too sure, so
+   they are divided by a temperature, which is chosen by the log loss on a fifth of the
+   labels that is left out of the counts.  Posteriors are rounded to a grid, so there is a
+   bounded number of different ones (see `grid`), each known by a code.
 2. Each document gets a nonnegative rate, the expected number of its copies, such that
    the expected tokens of the domains, sum of rate x tokens x posterior, are the targets'
-   shares of all tokens.  Projected gradient steps on the least squares start from rate 1:
+   shares of all tokens.  That is least squares over all rates r >= 0 of (A r - b), measured
+   by M^-1 with M the second moments of the posteriors.  Projected gradient steps start from rate 1:
        rate <- max(0, rate - posterior . M^-1 (tokens now - tokens wanted))
-   with M the second moments of the posteriors, which is the gradient in a metric that
-   makes the steps fast.  A step needs one sum over all documents; equal posteriors are
-   added up beforehand.
+   In the inner product where documents weigh as much as their tokens, this is the gradient with
+   step 1, which is the inverse of its Lipschitz constant, so steps approach the least
+   distance.  A document's rate depends on its posterior alone: tokens are added up by posterior over the
+   cluster, and the steps run over the different posteriors in one row of arrays.
+   Targets that no rates meet leave a residual; it is returned, and told as a warning.
 3. Copies: the rate, rounded up or down by the hash of the id so that its mean is right.
 
 Labels are read for at most ``sample`` documents, those with the least hash of their id.
 
 Defined results: null and empty texts have no tokens and the classifier's value for no
-features; rows with null id are rounded alike; without labels all posteriors are equal;
-repeated rows each get their rate; an empty table gives no rows.
+features; rows with null id are rounded alike; labels of several domains for one id, and several texts of
+one id, each train; without labels all posteriors are equal; repeated rows each get their rate; an empty
+table gives no rows; `apply` keeps all columns of docs, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +40,16 @@ from linkspark.operators.storage import materialize
 #: Share of the expected tokens that each domain is to have.
 TARGETS = {"good": 0.90, "low": 0.06, "toxic": 0.04}
 SAMPLE = 20_000
-LEXICON = 16
-SUPPORT = 8
-STEPS = 40
+HASHES = 4096
+#: Steps from 0 to 1 of a rounded posterior, and different posteriors, at most.
+GRID, POSTERIORS = 100, 1 << 14
+TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
+#: Steps of the rates, at most, and the residual (share of all tokens) that is told.
+STEPS, RESIDUAL = 200, 1e-3
 MARKS = "#*$%&|<>!"
 MARK_BINS = (0.002, 0.01, 0.03)
 CAPITAL_BINS = (0.1, 0.3, 0.6)
-WORD = "[^\\x20\\x09-\\x0D]+"
+SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def domain_of() -> Column:
@@ -47,11 +57,6 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
 
 
-def _words(text: Column) -> Column:
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ".,;:!?\"'()[]#*$%&|<>\n\t\r", " " * 24)
-    return F.split(plain, " ")
-
-
 def _bin(value: Column, edges: tuple[float, ...]) -> Column:
     out = F.lit(len(edges))
     for k in range(len(edges) - 1, -1, -1):
@@ -59,121 +64,158 @@ def _bin(value: Column, edges: tuple[float, ...]) -> Column:
     return out
 
 
-def _features(text: Column, lexicons: dict[str, list[str]]) -> dict[str, Column]:
+def _bins(text: Column) -> dict[str, Column]:
     whole = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(whole), F.lit(1))
     marks = F.length(whole) - F.length(F.translate(whole, MARKS, ""))
     capitals = F.length(whole) - F.length(F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    out = {"marks": _bin(marks / size, MARK_BINS), "capitals": _bin(capitals / size, CAPITAL_BINS)}
-    words = _words(text)
-    for name, lexicon in lexicons.items():
-        if lexicon:
-            out[f"has_{name}"] = F.arrays_overlap(words, F.array(*[F.lit(x) for x in lexicon])).cast("int")
-    return out
+    return {"marks": _bin(marks / size, MARK_BINS), "capitals": _bin(capitals / size, CAPITAL_BINS)}
+
+
+def _pieces(text: Column) -> Column:
+    """Words of a text, with an empty string where white space begins or ends it."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES)
+
+
+def _count(pieces: Column) -> Column:
+    """Words among the pieces."""
+    ends = (F.element_at(pieces, 1) == "").cast("int") + (F.element_at(pieces, -1) == "").cast("int")
+    return F.greatest(F.size(pieces) - ends, F.lit(0)).cast("long")
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(HASHES)).cast("int")
+
 
+def grid(domains: int) -> int:
+    """Steps of the grid that keep the different posteriors of so many domains below POSTERIORS, about."""
+    return next(g for g in range(GRID, 0, -1) if g == 1 or math.comb(g + domains - 1, domains - 1) <= POSTERIORS)
 
-def tokens_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _numbers(values: list[float]) -> Column:
+    """A constant array, read from one string so that the plan stays small."""
+    return F.split(F.lit(",".join(f"{x:.5g}" for x in values)), ",").cast("array<double>")
 
 
 class Classifier:
-    """Lexicons and log probabilities of binned features."""
-
-    def __init__(self, domains: list[str], lexicons: dict[str, list[str]], prior: dict[str, float], tables: dict[str, dict[str, list[float]]]):
-        self.domains, self.lexicons, self.prior, self.tables = domains, lexicons, prior, tables
-
-    def features(self, text: Column) -> dict[str, Column]:
-        return _features(text, self.lexicons)
-
-    def posteriors(self, bins: dict[str, Column]) -> Column:
-        """Posterior of each domain, an array, from columns of bins."""
-        logs = []
-        for d in self.domains:
-            value = F.lit(self.prior[d])
-            for name in sorted(self.tables):
-                value = value + F.element_at(F.array(*[F.lit(x) for x in self.tables[name][d]]), F.col(name) + 1)
-            logs.append(value)
+    """Log probabilities of word buckets and of bins, less those of the first domain; temperature."""
+
+    def __init__(self, domains: list[str], prior: list[float], words: list[list[float]], tables: dict[str, list[list[float]]], temperature: float = 1.0):
+        self.domains, self.prior, self.words, self.tables, self.temperature = domains, prior, words, tables, temperature
+
+    def measured(self, docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
+        """The kept columns, _count (words of the text) and the log odds _o1, _o2 ... of the domains after the first."""
+        first = docs.select(*kept, _pieces(text).alias("_pieces"), *[c.alias(f"_{n}") for n, c in _bins(text).items()])
+        names = first.columns[: len(kept)]
+        # empty pieces are no words: their odds are taken off again
+        second = first.select(*[F.col(f"`{c}`") for c in names], "_marks", "_capitals", _count(F.col("_pieces")).alias("_count"), F.size("_pieces").alias("_n"), F.transform("_pieces", lambda w: _bucket(w) + 1).alias("_buckets"))
+        odds = []
+        for d in range(1, len(self.domains)):
+            table = _numbers(self.words[d])
+            value = F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.element_at(table, b))
+            value = value - (F.col("_n") - F.col("_count")) * F.element_at(table, _bucket(F.lit("")) + 1)
+            for name, rows in self.tables.items():
+                value = value + F.element_at(_numbers(rows[d]), F.col(f"_{name}") + 1)
+            odds.append((value + F.lit(self.prior[d])).alias(f"_o{d}"))
+        return second.select(*[F.col(f"`{c}`") for c in names], "_count", *odds)
+
+    def raw(self, temperature: float) -> Column:
+        """Posteriors from the log odds, an array."""
+        logs = [F.lit(0.0), *[F.col(f"_o{d}") / temperature for d in range(1, len(self.domains))]]
         most = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        raised = F.array(*[F.exp(x - most) for x in logs])
-        total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(raised, lambda x: x / total)
+        raised = [F.exp(x - most) for x in logs]
+        total = sum(raised[1:], raised[0])
+        return F.array(*[x / total for x in raised])
+
+    def code(self) -> Column:
+        """The rounded posterior as one number: whole steps of the grid for each domain."""
+        steps, out = grid(len(self.domains)), F.lit(0).cast("long")
+        return _let(self.raw(self.temperature), lambda p: sum((F.round(F.element_at(p, d + 1) * steps).cast("long") * (steps + 1) ** k for k, d in enumerate(reversed(range(len(self.domains))))), out))
+
+    def posterior(self, code: Column) -> Column:
+        ways = grid(len(self.domains)) + 1
+        steps = [F.pmod(F.floor(code / F.lit(float(ways**k))), F.lit(ways)) for k in range(len(self.domains) - 1, -1, -1)]
+        total = F.greatest(sum(steps[1:], steps[0]), F.lit(1)).cast("double")
+        return F.array(*[x / total for x in steps])
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> Classifier:
-    """Train on documents with labels.  The driver gets words of the lexicons and counts of bins only."""
+    """Train on documents with labels.  The driver gets counts of buckets and bins only: domains x (HASHES + bins)."""
+    assert (grid(len(domains)) + 1) ** len(domains) < 1 << 53
     picked = labels.select(F.col(id_column).alias("id"), domain.alias("domain")).filter(F.col("domain").isin(domains) & F.col("id").isNotNull())
     picked = common.sampled(picked, sample)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(picked), "id")
-    rows = materialize(rows.select("id", "domain", "text"))
-    found = rows.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).filter("word <> ''")
-    counts = found.groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(domains)])
-    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    rows = materialize(rows.select("id", "domain", "text", (F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0).alias("held")))
+    train = rows.filter("not held")
+    words = train.select("domain", F.explode(_pieces(F.col("text"))).alias("word")).filter("word <> ''")
+    seen = {(r["domain"], r["b"]): r["n"] for r in words.groupBy("domain", _bucket(F.col("word")).alias("b")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["domain"]: r["n"] for r in train.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
-    lexicons: dict[str, list[str]] = {}
-    for i, d in enumerate(domains[1:], 1):  # the first domain is what the others differ from
-        inside, outside = F.col(f"n_{i}"), sum((F.col(f"n_{j}") for j in range(len(domains)) if j != i), F.lit(0))
-        odds = F.log((inside + 0.5) / (sizes.get(d, 0) + 1)) - F.log((outside + 0.5) / (total - sizes.get(d, 0) + 1))
-        best = counts.filter((inside >= SUPPORT) & (odds > math.log(20))).orderBy(odds.desc(), "word").limit(LEXICON)
-        lexicons[d] = [r["word"] for r in best.select("word").collect()]
-    features = _features(F.col("text"), lexicons)
-    binned = rows.select("domain", *[c.alias(n) for n, c in features.items()]).groupBy("domain", *features).agg(F.count("*").alias("n")).collect()
-    ways = {n: len(MARK_BINS) + 1 if n == "marks" else len(CAPITAL_BINS) + 1 if n == "capitals" else 2 for n in features}
-    tables: dict[str, dict[str, list[float]]] = {}
-    for name, k in ways.items():
-        tables[name] = {}
-        for d in domains:
-            seen = [1.0 + sum(r["n"] for r in binned if r["domain"] == d and r[name] == x) for x in range(k)]
-            tables[name][d] = [math.log(x / sum(seen)) for x in seen]
-    prior = {d: math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains}
-    return Classifier(domains, lexicons, prior, tables)
-
-
-def _solve(matrix: list[list[float]], vector: list[float]) -> list[float]:
-    """Gaussian elimination of a small system."""
-    n = len(vector)
-    rows = [[*r, v] for r, v in zip(matrix, vector)]
+    share = [[math.log((seen.get((d, b), 0) + 1) / (sum(n for (x, _), n in seen.items() if x == d) + HASHES)) for b in range(HASHES)] for d in domains]
+    less = lambda table: [[x - y for x, y in zip(row, table[0])] for row in table]
+    tables: dict[str, list[list[float]]] = {}
+    binned = train.select("domain", *[c.alias(n) for n, c in _bins(F.col("text")).items()]).groupBy("domain", "marks", "capitals").agg(F.count("*").alias("n")).collect()
+    for name, ways in (("marks", len(MARK_BINS) + 1), ("capitals", len(CAPITAL_BINS) + 1)):
+        counts = [[1.0 + sum(r["n"] for r in binned if r["domain"] == d and r[name] == k) for k in range(ways)] for d in domains]
+        tables[name] = less([[math.log(x / sum(row)) for x in row] for row in counts])
+    prior = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
+    model = Classifier(domains, [x - prior[0] for x in prior], less(share), tables)
+    held = model.measured(rows.filter("held"), F.col("text"), F.col("domain"))
+    own = lambda t: F.element_at(model.raw(t), F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int"))
+    losses = held.agg(*[F.sum(-F.log(F.greatest(own(t), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).first()
+    if losses["t0"] is not None:
+        model.temperature = min(zip(losses, TEMPERATURES))[1]
+    return model
+
+
+def _inverse(matrix: list[list[float]]) -> list[list[float]]:
+    """Inverse of a small matrix by elimination."""
+    n = len(matrix)
+    rows = [[*r, *(float(i == j) for j in range(n))] for i, r in enumerate(matrix)]
     for i in range(n):
         best = max(range(i, n), key=lambda k: abs(rows[k][i]))
         rows[i], rows[best] = rows[best], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
         for k in range(n):
             if k != i:
-                f = rows[k][i] / rows[i][i]
-                rows[k] = [x - f * y for x, y in zip(rows[k], rows[i])]
-    return [rows[i][n] / rows[i][i] for i in range(n)]
+                rows[k] = [x - rows[k][i] * y for x, y in zip(rows[k], rows[i])]
+    return [r[n:] for r in rows]
 
 
-def _dot(posterior: Column, weights: list[float]) -> Column:
-    return sum((F.element_at(posterior, i + 1) * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
+def solve(totals: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[DataFrame, float]:
+    """(totals with the rate, the greatest difference from a target's share that is left).
 
-
-def solve(totals: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-9) -> list[list[float]]:
-    """The steps' weights.  totals: (posterior array, tokens), equal posteriors added up."""
+    totals: (code, posterior array, tokens), equal posteriors added up, so a bounded number of rows.
+    """
     k = len(targets)
     p = [F.element_at("posterior", i + 1) for i in range(k)]
     moments = totals.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    everything = moments["all"] or 0
+    everything = float(moments["all"] or 0)
     if not everything:
-        return []
-    matrix = [[moments[f"m{min(i, j)}_{max(i, j)}"] / everything + (1e-6 if i == j else 0.0) for j in range(k)] for i in range(k)]
-    history: list[list[float]] = []
-    rated = totals.withColumn("rate", F.lit(1.0))
-    for _ in range(steps):
-        now = rated.agg(*[F.sum(F.col("tokens") * p[i] * F.col("rate")).alias(f"t{i}") for i in range(k)]).first()
-        off = [now[f"t{i}"] / everything - targets[i] for i in range(k)]
-        if max(map(abs, off)) < tolerance:
-            break
-        step = _solve(matrix, off)
-        history.append(step)
-        rated = totals.withColumn("rate", rate(F.col("posterior"), history))
-    return history
-
-
-def rate(posterior: Column, history: list[list[float]]) -> Column:
-    """What the steps make of rate 1 for a posterior."""
-    if not history:
-        return F.lit(1.0)
-    weights = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in history])
-    return F.aggregate(weights, F.lit(1.0), lambda r, w: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(posterior, w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+        return totals.withColumn("rate", F.lit(1.0)), 0.0
+    inverse = _inverse([[moments[f"m{min(i, j)}_{max(i, j)}"] / everything + (1e-6 if i == j else 0.0) for j in range(k)] for i in range(k)])
+    rows = F.col("rows")
+
+    def off(rates: Column) -> Column:
+        """Shares of the tokens now, less the targets."""
+        now = [F.aggregate(F.zip_with(rows, rates, lambda x, r: x["tokens"] * F.element_at(x["posterior"], i + 1) * r), F.lit(0.0), lambda s, x: s + x) for i in range(k)]
+        return F.array(*[n / everything - t for n, t in zip(now, targets)])
+
+    def step(rates: Column, _: Column) -> Column:
+        move = lambda o: F.array(*[sum((F.element_at(o, j + 1) * inverse[i][j] for j in range(k)), F.lit(0.0)) for i in range(k)])
+        moved = lambda m: F.zip_with(rows, rates, lambda x, r: F.greatest(F.lit(0.0), r - sum((F.element_at(x["posterior"], i + 1) * F.element_at(m, i + 1) for i in range(k)), F.lit(0.0))))
+        return _let(off(rates), lambda o: _let(move(o), moved))
+
+    together = totals.agg(F.sort_array(F.collect_list(F.struct("code", "posterior", F.col("tokens").cast("double").alias("tokens")))).alias("rows"))
+    done = together.select("rows", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.transform(rows, lambda x: F.lit(1.0)), step).alias("rates"))
+    done = materialize(done.select("rows", "rates", F.array_max(F.transform(off(F.col("rates")), F.abs)).alias("left")))
+    pairs = done.select(F.explode(F.arrays_zip("rows", "rates")).alias("x"))
+    return pairs.select("x.rows.code", "x.rows.posterior", F.col("x.rows.tokens").cast("long").alias("tokens"), F.col("x.rates").alias("rate")), done.first()["left"]
 
 
 def copies(rate_: Column, id_: Column) -> Column:
@@ -182,39 +224,39 @@ def copies(rate_: Column, id_: Column) -> Column:
     return F.floor(rate_ + part).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> tuple[Classifier, DataFrame, DataFrame]:
-    """(classifier, rates, rows).
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> tuple[Classifier, DataFrame, DataFrame, float]:
+    """(classifier, rates, rows, residual).
 
-    rates has a row for each combination of bins that occurs (at most a few hundred, by
-    the numbers of bins): bins, tokens, posterior, rate.  rows have id, tokens, posterior,
-    rate and copies, measured once and written to the shared folder.
+    rates has a row for each rounded posterior that occurs (see `grid`): code, tokens, posterior, rate.  rows have id, tokens, posterior, rate and copies,
+    measured once and written to the shared folder.
     """
     domains = list(targets)
     model = fit(docs, labels, domains, domain_of() if domain is None else domain, sample, id_column, text_column)
-    text = F.col(text_column)
-    bins = model.features(text)
-    measured = materialize(docs.select(F.col(id_column).alias("id"), tokens_of(text).alias("words"), *[c.alias(n) for n, c in bins.items()]))
-    totals = materialize(measured.groupBy(*bins).agg(F.sum("words").alias("tokens")).withColumn("posterior", model.posteriors(bins)))
-    history = solve(totals, [targets[d] / sum(targets.values()) for d in domains])
-    rates = materialize(totals.withColumn("rate", rate(F.col("posterior"), history)))
-    found = measured.join(F.broadcast(rates.drop("tokens")), list(bins))
-    rows = found.select("id", F.col("words").alias("tokens"), "posterior", "rate", copies(F.col("rate"), F.col("id")).alias("copies"))
-    return model, rates, rows
+    found = model.measured(docs, F.col(f"`{text_column}`"), F.col(f"`{id_column}`").alias("_id"))
+    measured = materialize(found.select(F.col("_id").alias("id"), F.col("_count").alias("words"), model.code().alias("code")))
+    totals = materialize(measured.groupBy("code").agg(F.sum("words").alias("tokens")).withColumn("posterior", model.posterior(F.col("code"))))
+    rates, residual = solve(totals, [targets[d] / sum(targets.values()) for d in domains])
+    if residual > RESIDUAL:
+        warnings.warn(f"no nonnegative rates meet the targets: a share is off by {residual:.3g}", stacklevel=2)
+    rates = materialize(rates)
+    joined = measured.join(F.broadcast(rates.drop("tokens")), "code")
+    rows = joined.select("id", F.col("words").alias("tokens"), "posterior", "rate", copies(F.col("rate"), F.col("id")).alias("copies"))
+    return model, rates, rows, residual
 
 
 def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, each as often as its copies say."""
-    model, rates, _ = mix(docs, labels, targets, domain, sample, id_column, text_column)
-    bins = model.features(F.col(text_column))
+    model, rates, _, _ = mix(docs, labels, targets, domain, sample, id_column, text_column)
     names = docs.columns
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_column).alias("_id"), *[c.alias(n) for n, c in bins.items()])
-    rated = own.join(F.broadcast(rates.select(*bins, "rate")), list(bins)).select("_row", copies(F.col("rate"), F.col("_id")).alias("_n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    own = model.measured(docs, F.col(f"`{text_column}`"), row, F.col(f"`{id_column}`").alias("_id")).select("_row", "_id", model.code().alias("code"))
+    rated = own.join(F.broadcast(rates.select("code", "rate")), "code").select("_row", copies(F.col("rate"), F.col("_id")).alias("_n"))
     often = rated.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     return often.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    _, _, rows = mix(docs, common.table(spark, sf_dir, "labels"))
+    _, _, rows, _ = mix(docs, common.table(spark, sf_dir, "labels"))
     shares = [F.element_at("posterior", i + 1).alias(f"p_{d}") for i, d in enumerate(TARGETS)]
     return rows.select(F.col("id").alias("doc_id"), "tokens", *shares, "rate", "copies")

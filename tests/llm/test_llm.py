@@ -286,7 +286,8 @@ def test_mixing(spark):
     rows += [(9000, None, "x"), (9001, "", "x"), (None, "w1 w2", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, marks string")
     marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    _, _, out = mixing.mix(docs, marked, {"good": 0.6, "low": 0.3, "toxic": 0.1})
+    model, rates, out, residual = mixing.mix(docs, marked, {"good": 0.6, "low": 0.3, "toxic": 0.1})
+    assert residual < 1e-6
     got = out.toPandas()
     p = np.stack(got["posterior"])
     share = (p * (got["tokens"] * got["rate"]).values[:, None]).sum(0) / got["tokens"].sum()
@@ -296,6 +297,37 @@ def test_mixing(spark):
     assert kept.columns == docs.columns and kept.count() == got["copies"].sum()
     assert "Python" not in out._jdf.queryExecution().toString()
     assert mixing.mix(docs.limit(0), marked)[2].count() == 0 and mixing.mix(docs, marked.limit(0))[2].count() == len(rows)
+    brute_mixing(rows, model, rates, got)
+    alone = spark.createDataFrame([(1, [1.0, 0.0], 100)], "code long, posterior array<double>, tokens long")  # which can't have tokens of the other domain
+    assert mixing.solve(alone, [0.5, 0.5])[1] == pytest.approx(0.5, abs=1e-3)
+
+
+def brute_mixing(rows, model, rates, got):
+    """Posteriors of naive Bayes and the rates of projected gradient, by hand."""
+    import xxhash
+
+    table = [np.array([float(f"{x:.5g}") for x in t]) for t in model.words]
+    posteriors, tokens = [], []
+    for _, x, _ in rows:
+        w = (x or "").lower().split()
+        size = max(len(x or ""), 1)
+        bins = (sum((sum(c in mixing.MARKS for c in x or "") / size) >= e for e in mixing.MARK_BINS), sum((sum("A" <= c <= "Z" for c in x or "") / size) >= e for e in mixing.CAPITAL_BINS))
+        at = [int(np.int64(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)))) % mixing.HASHES for t in w]
+        odds = np.array([0.0] + [(table[d][at].sum() + model.prior[d] + model.tables["marks"][d][bins[0]] + model.tables["capitals"][d][bins[1]]) / model.temperature for d in (1, 2)])
+        p = np.exp(odds - odds.max())
+        posteriors.append(p / p.sum())
+        tokens.append(len(w))
+    mine = sorted((n, *np.round(p, 1)) for p, n in zip(posteriors, tokens))
+    theirs = sorted((n, *np.round(p, 1)) for p, n in zip(got["posterior"], got["tokens"]))
+    assert np.abs(np.array(mine) - np.array(theirs)).mean() < 0.02
+    own = rates.toPandas()
+    a, n = np.stack(own["posterior"]), own["tokens"].values
+    want = np.array([0.6, 0.3, 0.1]) * n.sum()
+    moment = np.linalg.inv((a * n[:, None]).T @ a / n.sum() + 1e-6 * np.eye(3))
+    r = np.ones(len(a))
+    for _ in range(500):
+        r = np.maximum(0, r - a @ (moment @ ((a * (n * r)[:, None]).sum(0) - want)) / n.sum())
+    assert own["rate"].values == pytest.approx(r, abs=1e-4)
 
 
 def test_html():
