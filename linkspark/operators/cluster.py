@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.operators import graph, similarity
+from linkspark.operators.storage import materialize
 
 NOISE = -1
 
@@ -25,8 +27,6 @@ def mutual_reachability(neighbours: DataFrame, min_samples: int, alpha: float =
 
 def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(src, dst, distance): least spanning forest by Boruvka's rounds; ties by ids."""
-    from linkspark.operators.storage import materialize
-
     labels = edges.select(F.col("src").alias("v")).union(edges.select("dst")).distinct().withColumn("c", F.col("v"))
     chosen = None
     for _ in range(max_rounds):
@@ -153,13 +153,43 @@ def condense(forest: list[tuple[int, int, float]], min_size: int = 2, selection:
 
 
 def density_clusters(vectors: DataFrame, k: int = 15, min_samples: int = 1, min_size: int = 2, selection: str = "leaf", id_column: str = "vec_id") -> DataFrame:
-    """(vec_id, cluster, probability).  The spanning forest's n - 1 edges come to the driver, nothing else."""
+    """(vec_id, cluster, probability).  Each tree of the spanning forest is condensed by one task; labels are numbered by tree."""
     near = similarity.neighbours(vectors, k, id_column=id_column)
-    edges = spanning_forest(mutual_reachability(near, min_samples))
-    labels = condense([tuple(r) for r in edges.select("src", "dst", "distance").collect()], min_size, selection)
-    rows = [(v, c, p) for v, (c, p) in sorted(labels.items())]
-    found = vectors.sparkSession.createDataFrame(rows, f"{id_column} long, cluster int, probability double")
-    return vectors.select(id_column).join(found, id_column, "left").select(id_column, F.coalesce("cluster", F.lit(NOISE)).alias("cluster"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
+    edges = spanning_forest(mutual_reachability(near, min_samples)).select("src", "dst", "distance")
+    trees = edges.join(graph.components(edges), edges["src"] == F.col("vertex")).select("component_id", "src", "dst", "distance")
+
+    def one(table: pa.Table) -> pa.Table:
+        tree = table.column("component_id")[0].as_py()
+        labels = condense(list(zip(*(table.column(c).to_pylist() for c in ("src", "dst", "distance")))), min_size, selection)
+        rows = sorted(labels.items())
+        return pa.table({"id": pa.array([v for v, _ in rows], pa.int64()), "tree": pa.array([tree] * len(rows), pa.int64()), "label": pa.array([c for _, (c, _) in rows], pa.int32()), "probability": pa.array([p for _, (_, p) in rows], pa.float64())})
+
+    found = materialize(trees.groupBy("component_id").applyInArrow(one, "id long, tree long, label int, probability double"))
+    numbers = found.filter(F.col("label") != NOISE).select("tree", "label").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("tree", "label")) - 1)
+    placed = found.join(numbers, ["tree", "label"], "left").select(F.col("id").alias(id_column), "cluster", "probability")
+    return vectors.select(id_column).join(placed, id_column, "left").select(id_column, F.coalesce("cluster", F.lit(NOISE)).alias("cluster"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
+
+
+def check_vectors(vectors: DataFrame, dim: int, id_column: str = "vec_id", vector_column: str = "v") -> DataFrame:
+    """(id, problem) of vectors that can't be clustered: null, of another length, or with values that aren't finite."""
+    v = F.col(vector_column)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    problem = F.when(v.isNull(), "null").when(F.size(v) != dim, "length").when(bad, "not_finite")
+    return vectors.select(id_column, problem.alias("problem")).filter("problem is not null")
+
+
+def shared_neighbour_clusters(vectors: DataFrame, k: int = 15, min_weight: float = 0.0, rounds: int = 8, id_column: str = "vec_id") -> DataFrame:
+    """(id, cluster) by shared neighbours: unit vectors, mutual neighbours weighted by rank, communities, noise attached, like clusters merged.
+
+    Vectors without a mutual neighbour are noise before noise is attached.
+    """
+    own = materialize(vectors.select(F.col(id_column).alias("id"), similarity.unit(F.col("v")).alias("v")))
+    near = materialize(similarity.neighbours(own, k, id_column="id"))
+    found = graph.communities(graph.mutual_rank_graph(near, min_weight=min_weight), rounds)
+    labels = own.select("id").join(found, own["id"] == found["vertex"], "left").select("id", F.coalesce("community", F.lit(NOISE)).alias("cluster"))
+    attached = materialize(attach_noise(labels, near))
+    merged = merge_similar(own.join(attached, "id"))
+    return attached.join(merged, "cluster", "left").select("id", F.coalesce("merged", "cluster").alias("cluster"))
 
 
 def attach_noise(labels: DataFrame, neighbours: DataFrame, sim_at_least: float = 0.82, matches: int = 2, ambiguity: float = 1.5) -> DataFrame:

@@ -91,6 +91,12 @@ def components(edges: DataFrame, max_rounds: int = 60, together: int = TOGETHER)
     return materialize(found.union(alone.select("vertex", F.col("vertex").alias("component_id"))))
 
 
+def in_both(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(src, dst) with src < dst: edges that both edge tables have, whatever their direction."""
+    order = lambda df: df.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return order(one).join(order(two), ["src", "dst"])
+
+
 def mutual(neighbours: DataFrame) -> DataFrame:
     """Pairs src < dst that are each other's neighbour, with both ranks and similarities."""
     back = neighbours.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("rank").alias("rank_back"), F.col("sim").alias("sim_back"))

@@ -63,9 +63,60 @@ def margin_vote(sims: DataFrame, margin: float = 0.1) -> DataFrame:
     return sims.groupBy("id").agg(own.alias("own"), other.alias("other")).withColumn("low_margin", F.coalesce(F.col("own") - F.col("other") < margin, F.lit(False)))
 
 
-def states_fit(a: Column, b: Column) -> Column:
-    """Equal states, or one unknown."""
-    return (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "") | (a == b)
+def states_fit(a: Column, b: Column, neighbours: list[tuple[str, str]] = ()) -> Column:
+    """Equal states, one unknown, or a pair that may be mixed (in either order)."""
+    fit = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "") | (a == b)
+    if neighbours:
+        fit = fit | F.concat_ws("|", F.least(a, b), F.greatest(a, b)).isin(["|".join(sorted(x)) for x in neighbours])
+    return fit
+
+
+def allowed_profiles(records: DataFrame, found: DataFrame, neighbours: list[tuple[str, str]] = ()) -> DataFrame:
+    """(record_id, cluster) of records with the profiles that their state may go with, by equi-joins on states.
+
+    Known states meet equal ones, allowed neighbours (both orders) and profiles without a
+    state; records without a state meet all profiles.
+    """
+    own = records.select("record_id", F.coalesce("state", F.lit("")).alias("state"))
+    ways = [(a, b) for x, y in neighbours for a, b in ((x, y), (y, x))]
+    near = F.array(*[F.when(F.col("state") == a, F.lit(b)) for a, b in ways]) if ways else F.array().cast("array<string>")
+    asked = own.withColumn("wanted", F.explode(F.array_union(F.array(F.when(F.col("state") == "", "*").otherwise(F.col("state")), F.when(F.col("state") != "", "")), F.array_compact(near)))).filter("wanted is not null")
+    p = found.select("cluster", F.coalesce("state", F.lit("")).alias("s"))
+    given = p.select("cluster", F.explode(F.array("s", F.lit("*"))).alias("wanted"))
+    return asked.join(given, "wanted").select("record_id", "cluster").distinct()
+
+
+def match_scores(records: DataFrame, found: DataFrame, name_weight: float = 0.6, address_weight: float = 0.4) -> DataFrame:
+    """(record_id, cluster, name_score, address_score, match_score) of clustered records with the profile of their cluster."""
+    p = found.select("cluster", "name", "key", F.col("state").alias("profile_state"))
+    own = records.filter(F.col("cluster") != NOISE).join(p, "cluster")
+    one, two = edit_similarity(F.col("normalized_text"), F.col("name")), edit_similarity(F.col("address_key"), F.col("key"))
+    scored = own.select("record_id", "cluster", "state", "profile_state", one.alias("name_score"), two.alias("address_score"))
+    return scored.withColumn("match_score", F.round(name_weight * F.col("name_score") + address_weight * F.col("address_score"), 9))
+
+
+def candidates(records: DataFrame, found: DataFrame, votes: DataFrame | None = None, least_votes: int = 2, low: float = 0.3, neighbours: list[tuple[str, str]] = ()) -> DataFrame:
+    """(record_id, reason) of records to reassign: all noise, enough votes (record_id, votes), a match score below `low`, or a state that doesn't go with the cluster's."""
+    scored = match_scores(records, found)
+    scored = scored.join(votes, "record_id", "left") if votes is not None else scored.withColumn("votes", F.lit(0))
+    reason = F.when(F.coalesce("votes", F.lit(0)) >= least_votes, "votes").when(F.col("match_score") < low, "low_score").when(~states_fit(F.col("state"), F.col("profile_state"), neighbours), "state")
+    noise = records.filter(F.col("cluster") == NOISE).select("record_id", F.lit("noise").alias("reason"))
+    return noise.union(scored.select("record_id", reason.alias("reason")).filter("reason is not null"))
+
+
+def votes(scores: DataFrame, margins: DataFrame, min_size: int = 5) -> DataFrame:
+    """(record_id, votes): outliers of their cluster by both scores, and low margins over other profiles (margins: margin_vote's rows)."""
+    out = mahalanobis(scores.select(F.col("cluster").alias("g"), F.col("record_id").alias("id"), F.col("name_score").alias("a"), F.col("address_score").alias("b")), min_size)
+    one = out.select(F.col("id").alias("record_id"), F.col("outlier").cast("int").alias("v"))
+    two = margins.select(F.col("id").alias("record_id"), F.col("low_margin").cast("int").alias("v"))
+    return one.union(two).groupBy("record_id").agg(F.sum("v").cast("int").alias("votes"))
+
+
+def most_frequent(records: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, column, n): the commonest value of each group, ties to the least; nulls don't count."""
+    counts = records.filter(F.col(column).isNotNull()).groupBy(group, column).agg(F.count("*").alias("n"))
+    best = counts.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("o"), F.col(column).alias("x"))).alias("b"))
+    return best.select(group, F.col("b.x").alias(column), (-F.col("b.o")).alias("n"))
 
 
 def numbers_fit(a: Column, b: Column, most: int = 30) -> Column:
@@ -74,20 +125,18 @@ def numbers_fit(a: Column, b: Column, most: int = 30) -> Column:
     return x.isNull() | y.isNull() | (F.abs(x - y) <= most)
 
 
-def reassign(records: DataFrame, found: DataFrame, fuzz: float = 0.89, name_weight: float = 0.40, address_weight: float = 0.40, size_weight: float = 0.10, prob_weight: float = 0.10) -> DataFrame:
-    """(record_id, cluster, match_score) of the best profile for candidates: noise and records of low probability.
+def reassign(records: DataFrame, found: DataFrame, chosen: DataFrame | None = None, neighbours: list[tuple[str, str]] = (), name_fuzz: float = 0.89, address_fuzz: float = 0.89, name_weight: float = 0.40, address_weight: float = 0.40, size_weight: float = 0.10, prob_weight: float = 0.10) -> DataFrame:
+    """(record_id, cluster, match_score) of the best profile for the chosen records (record_id; unset: noise and records of low probability).
 
-    Profiles are met by state: an equi-join on the state, with unknown states joined to all.
+    Profiles are met by state (see allowed_profiles).
     """
-    candidates = records.filter((F.col("cluster") == NOISE) | (F.col("probability") < 0.55)).select("record_id", "normalized_text", "address_key", "state", F.col("cluster").alias("now"))
-    p = found.select(F.col("cluster").alias("to"), "name", "key", F.col("state").alias("state_to"), "size", "avg_probability")
-    known = candidates.filter("state <> ''").join(p.filter("state_to <> ''"), F.col("state") == F.col("state_to"))
-    unknown = candidates.filter("state = ''").join(p, F.lit(True), "cross")
-    unplaced = candidates.filter("state <> ''").join(p.filter("state_to = ''"), F.lit(True), "cross")
-    pairs = known.unionByName(unknown).unionByName(unplaced)
+    own = records.filter((F.col("cluster") == NOISE) | (F.col("probability") < 0.55)) if chosen is None else records.join(chosen.select("record_id").distinct(), "record_id", "left_semi")
+    own = own.select("record_id", "normalized_text", "address_key", "state", F.col("cluster").alias("now"))
+    p = found.select(F.col("cluster").alias("to"), "name", "key", "size", "avg_probability")
+    pairs = own.join(allowed_profiles(own, found, neighbours).withColumnRenamed("cluster", "to"), "record_id").join(p, "to")
     one, two = edit_similarity(F.col("normalized_text"), F.col("name")), edit_similarity(F.col("address_key"), F.col("key"))
-    less = lambda s: F.greatest(F.lit(0.0), s - F.when(s < fuzz, 0.05).otherwise(0.0))
-    score = name_weight * less(one) + address_weight * less(two) + size_weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log1p("size") / F.log1p(F.lit(10.0)))) + prob_weight * F.col("avg_probability")
+    less = lambda s, fuzz: F.greatest(F.lit(0.0), s - F.when(s < fuzz, 0.05).otherwise(0.0))
+    score = name_weight * less(one, name_fuzz) + address_weight * less(two, address_fuzz) + size_weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log1p("size") / F.log1p(F.lit(10.0)))) + prob_weight * F.col("avg_probability")
     scored = pairs.withColumn("s", F.round(F.greatest(F.lit(0.0), score), 9)).filter("s >= 0.2")
     current = F.coalesce(F.max(F.when(F.col("now") == F.col("to"), F.col("s"))).over(Window.partitionBy("record_id")), F.lit(0.0))
     best = F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc("s"), "to"))
@@ -96,12 +145,16 @@ def reassign(records: DataFrame, found: DataFrame, fuzz: float = 0.89, name_weig
     return ranked.filter(good).select("record_id", F.col("to").alias("cluster"), F.col("s").alias("match_score"))
 
 
-def apply_reassignment(records: DataFrame, moves: DataFrame, found: DataFrame) -> DataFrame:
-    """(record_id, cluster, probability) after the moves: score x the cluster's mean probability, x 0.9 where a candidate stayed."""
+def apply_reassignment(records: DataFrame, moves: DataFrame, found: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(record_id, cluster, probability) after the moves: score x the cluster's mean probability, x 0.9 where a candidate (record_id; unset: of low probability) stayed."""
     mean = found.select(F.col("cluster").alias("to"), "avg_probability")
     m = moves.select("record_id", F.col("cluster").alias("to"), "match_score").join(mean, "to")
     joined = records.join(m, "record_id", "left")
-    considered = (F.col("cluster") != NOISE) & (F.col("probability") < 0.55)
+    if chosen is None:
+        considered = (F.col("cluster") != NOISE) & (F.col("probability") < 0.55)
+    else:
+        joined = joined.join(chosen.select("record_id", F.lit(True).alias("asked")).distinct(), "record_id", "left")
+        considered = (F.col("cluster") != NOISE) & F.coalesce("asked", F.lit(False))
     probability = F.when(F.col("to").isNotNull(), F.col("match_score") * F.col("avg_probability")).when(considered, F.col("probability") * 0.9).otherwise(F.col("probability"))
     return joined.select("record_id", F.coalesce("to", "cluster").alias("cluster"), probability.alias("probability"))
 
@@ -189,11 +242,11 @@ def apply_canonical(records: DataFrame, canonical: DataFrame, how: str = "proper
 
 def confidence(scored: DataFrame) -> DataFrame:
     """Adds cluster_size, cohesion_score, change, confidence_score, confidence_category; rows hold cluster, probability, name_similarity, address_confidence, change and enriched."""
-    w = Window.partitionBy("cluster")
-    size = F.count("*").over(w)
-    spread = F.coalesce(F.stddev_samp("name_similarity").over(w), F.lit(0.0))
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    out = scored.withColumn("cluster_size", size).withColumn("cohesion_score", clip(1 - spread))
+    stats = scored.groupBy("cluster").agg(F.count("*").alias("cluster_size"), clip(1 - F.coalesce(F.stddev_samp("name_similarity"), F.lit(0.0))).alias("cohesion_score"))
+    own = scored.filter(F.col("cluster") != NOISE).join(stats, "cluster")
+    alone = scored.filter(F.col("cluster") == NOISE).crossJoin(F.broadcast(stats.filter(F.col("cluster") == NOISE).drop("cluster")))  # one row, as noise may be most of the table
+    out = own.unionByName(alone)
     base = 0.25 * F.col("probability") + 0.20 * F.col("name_similarity") + 0.25 * F.col("address_confidence") + 0.15 * F.col("cohesion_score") + 0.15 * F.least(F.log1p("cluster_size") / F.log1p(F.lit(10.0)), F.lit(1.0))
     base = base * F.when(F.col("change") > 0.5, 0.9).otherwise(1.0) * F.when(F.col("enriched"), 0.95).otherwise(1.0) * F.when((F.col("cluster_size") <= 2) & (F.col("change") > 0.7), 0.85).otherwise(1.0)
     score = clip(F.when(F.col("cluster") == NOISE, 0.5 * F.col("name_similarity")).otherwise(base))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Vectors of one shard of the exact neighbour table.
+SHARD = 8192
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """exp(-2 x edit distance / both lengths); 0 if either is empty."""
     value = F.exp(-2.0 * F.levenshtein(a, b) / (F.length(a) + F.length(b)))
@@ -35,10 +39,20 @@ def tfidf(counts: DataFrame, rows: int, min_df: int = 2, max_df: float = 0.99) -
 
 
 def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim) with a < b of rows that share a gram, cosine above `least`."""
+    """(a, b, sim) with a < b of rows (unit length) whose cosine is above `least`.
+
+    Grams are put in one order, rare ones first.  A row's prefix ends where what follows is shorter than `least`; rows
+    whose prefixes share no gram can't be that similar, so common grams hardly ever bring rows together.
+    """
+    df = weights.groupBy("gram").agg(F.count("*").alias("df"))
+    after = Window.partitionBy("id").orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing)
+    ranked = weights.join(df, "gram").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(after))
+    prefix = ranked.filter(F.col("rest") >= least * least * (1 - 1e-9)).select("id", "gram")
+    met = prefix.join(prefix.withColumnRenamed("id", "b"), "gram").filter("id < b").select(F.col("id").alias("a"), "b").distinct()
+    left = weights.select(F.col("id").alias("a"), "gram", F.col("weight").alias("wa"))
     right = weights.select(F.col("id").alias("b"), "gram", F.col("weight").alias("wb"))
-    pairs = weights.join(right, "gram").filter("id < b").groupBy(F.col("id").alias("a"), "b").agg(F.sum(F.col("weight") * F.col("wb")).alias("sim"))
-    return pairs.filter(F.col("sim") > least)
+    sims = met.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    return sims.filter(F.col("sim") > least)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,11 +70,12 @@ def finite(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x))
 
 
-def neighbours(vectors: DataFrame, k: int, shards: int = 4, id_column: str = "vec_id", vector_column: str = "v") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, shards: int | None = None, id_column: str = "vec_id", vector_column: str = "v") -> DataFrame:
     """(src, dst, rank from 0, sim): for each vector the k others of greatest dot product (9 decimals, then id).
 
-    Rows are dealt to shards; a task multiplies two shards and keeps k for each row.
+    Rows are dealt to shards of about `SHARD` rows; a task multiplies two shards and keeps k for each row.
     """
+    shards = shards or max(4, -(-vectors.count() // SHARD))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     all_ = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from linkspark.queries import base, basic, resolution, serving, vectors  # noqa: F401  they register themselves
+    from linkspark.queries import base, basic, resolution, serving, stages, vectors  # noqa: F401  they register themselves
 
     return dict(base.QUERIES)
 

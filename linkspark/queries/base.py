@@ -96,7 +96,7 @@ WITH_ORGS = f"WITH RECURSIVE orgs AS ({ORGS}), {_sql_names()}, {_sql_addresses()
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies with normal names, parsed addresses, keys and completeness."""
-    df = orgs(spark, sf_dir).withColumn("normalized_text", text.normalize_name(F.col("company_name"))).withColumns(address.parse(F.col("address")))
+    df = text.with_normal_name(orgs(spark, sf_dir), "company_name", "normalized_text").withColumns(address.parse(F.col("address")))
     parts = {p: F.col(p) for p in address.PARTS}
     return df.withColumn("address_key", address.key(parts)).withColumn("score", address.completeness(parts))
 

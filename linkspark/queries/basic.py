@@ -12,7 +12,7 @@ from linkspark.queries.base import VECS, WITH_ORGS, entities, orgs, query, quote
 
 @query("q_name_normalize", f"{WITH_ORGS} SELECT record_id, normalized_text FROM names")
 def name_normalize(spark, d):
-    return orgs(spark, d).select("record_id", text.normalize_name(F.col("company_name")).alias("normalized_text"))
+    return text.with_normal_name(orgs(spark, d), "company_name", "normalized_text").select("record_id", "normalized_text")
 
 
 @query("q_doc_normalize", f"SELECT doc_id, md5(trim({sql_replaced('lower(text)', text.CLEAN)})) AS clean_md5 FROM documents")

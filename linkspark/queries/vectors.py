@@ -29,7 +29,7 @@ def frobenius(spark, d):
     return matrix.frobenius(long(spark, d)).select(F.round("norm", 6).alias("norm"), "entries")
 
 
-@query("q_scale_frobenius", f"WITH {LONG} SELECT row_, col_, round(value / (SELECT sqrt(sum(value * value)) FROM m), 6) AS value FROM m")
+@query("q_scale_frobenius", f"WITH {LONG.replace('m AS', 'm AS MATERIALIZED', 1)}, f AS MATERIALIZED (SELECT sqrt(sum(value * value)) AS norm FROM m) SELECT row_, col_, round(value / norm, 6) AS value FROM m CROSS JOIN f")
 def scale_frobenius(spark, d):
     return shown(matrix.scale_by_frobenius(long(spark, d)))
 
@@ -54,12 +54,17 @@ def regularization(spark, d):
     return matrix.regularization(long(spark, d), 32).select(F.round("lambda", 6).alias("lam"))
 
 
-GRAM = "r AS (SELECT vec_id, v, embedding::double[] AS e FROM vecs JOIN embeddings USING (vec_id) WHERE vec_id < 50), g AS (SELECT a.vec_id AS i, b.vec_id AS j, greatest(-1.0::double, least(1.0::double, (list_dot_product(a.v, b.v) + list_dot_product(a.e, b.e)) / 2)) AS value FROM r a, r b)"
+#: Landmarks are the vectors whose id is divisible by 20; all rows are compared with them.
+GRAM = "r AS (SELECT vec_id, v, embedding::double[] AS e FROM vecs JOIN embeddings USING (vec_id)), g AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, greatest(-1.0::double, least(1.0::double, (list_dot_product(a.v, b.v) + list_dot_product(a.e, b.e)) / 2)) AS value FROM r a JOIN r b ON b.vec_id % 20 = 0)"
+
+
+def runs(spark, d):
+    return vecs(spark, d).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "vec_id")
 
 
 def gram(spark, d):
-    runs = vecs(spark, d).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "vec_id").filter("vec_id < 50")
-    return matrix.gram(runs, "vec_id", ["v", "e"])
+    rows = runs(spark, d)
+    return matrix.gram(rows, "vec_id", ["v", "e"], rows.filter("vec_id % 20 = 0"))
 
 
 @query("q_avg_gram", f"WITH {VECS}, {GRAM} SELECT i, j, round(value, 6) AS value FROM g")
@@ -67,18 +72,18 @@ def avg_gram(spark, d):
     return gram(spark, d).select("i", "j", F.round("value", 6).alias("value"))
 
 
-@query("q_gram_center", f"WITH {VECS}, {GRAM} SELECT i, j, round(value - avg(value) OVER (PARTITION BY i) - avg(value) OVER (PARTITION BY j) + avg(value) OVER (), 6) AS value FROM g")
+@query("q_gram_center", f"WITH {VECS}, {GRAM}, a AS (SELECT * FROM g WHERE i % 20 = 0) SELECT i, j, round(value - avg(value) OVER (PARTITION BY i) - avg(value) OVER (PARTITION BY j) + avg(value) OVER (), 6) AS value FROM a")
 def gram_center(spark, d):
-    return matrix.center(gram(spark, d)).select("i", "j", F.round("value", 6).alias("value"))
+    return matrix.center(gram(spark, d).filter("i % 20 = 0")).select("i", "j", F.round("value", 6).alias("value"))
 
 
-@query("q_gram_center_new", f"WITH {VECS}, {GRAM}, a AS (SELECT * FROM g WHERE i < 40 AND j < 40), rm AS (SELECT j, avg(value) AS mean FROM a GROUP BY 1) SELECT n.i, n.j, round(n.value - avg(n.value) OVER (PARTITION BY n.i) - rm.mean + (SELECT avg(value) FROM a), 6) AS value FROM (SELECT * FROM g WHERE i >= 40 AND j < 40) n JOIN rm ON n.j = rm.j")
+@query("q_gram_center_new", f"WITH {VECS}, {GRAM}, a AS (SELECT * FROM g WHERE i % 20 = 0), rm AS (SELECT j, avg(value) AS mean FROM a GROUP BY 1) SELECT n.i, n.j, round(n.value - avg(n.value) OVER (PARTITION BY n.i) - rm.mean + (SELECT avg(value) FROM a), 6) AS value FROM (SELECT * FROM g WHERE i % 20 <> 0) n JOIN rm ON n.j = rm.j")
 def gram_center_new(spark, d):
     g = gram(spark, d)
-    anchors = g.filter("i < 40 AND j < 40")
+    anchors = g.filter("i % 20 = 0")
     grand = anchors.agg(F.avg("value").alias("grand"))
     means = anchors.groupBy("j").agg(F.avg("value").alias("mean")).crossJoin(F.broadcast(grand))
-    return matrix.center_new(g.filter("i >= 40 AND j < 40"), means, F.col("mean") * 0).crossJoin(F.broadcast(grand)).select("i", "j", F.round(F.col("value") + F.col("grand"), 6).alias("value"))
+    return matrix.center_new(g.filter("i % 20 <> 0"), means, F.col("mean") * 0).crossJoin(F.broadcast(grand)).select("i", "j", F.round(F.col("value") + F.col("grand"), 6).alias("value"))
 
 
 @query("q_finite_vectors", "SELECT vec_id, list_count([x for x in embedding if isfinite(x)])::bigint AS n FROM embeddings")

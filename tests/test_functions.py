@@ -67,9 +67,39 @@ def test_phonetic(spark):
 
 
 def test_config():
-    c = store.load_config("columns: {entity_col: name, address_cols: [a, b]}\nrandom_state: 7")
-    assert c.columns.address_cols == ("a", "b") and c.random_state == 7
+    c = store.load_config("columns: {entity_col: name, address_cols: [a, b]}\nlinking: {pair_similarity: 0.7}")
+    assert c.columns.address_cols == ("a", "b") and c.linking.pair_similarity == 0.7
     assert store.load_config(store.save_config(c)) == c
     for bad in ("columns: {entity_col: a, address_cols: [a]}", "output: {casing: odd}", "nothing: 1"):
         with pytest.raises(ValueError):
             store.load_config(bad)
+
+
+def test_folded_names(spark):
+    from linkspark.functions import text
+
+    rows = [(1, "Acme\u2122 \u201cTools\u201d\u2009Ltd"), (2, "\uff21\uff42\uff43 \u00f7 x"), (3, None), (4, "plain  text"), (5, "\u2460 \u00bd\u2026")]
+    df = spark.createDataFrame(rows, "id long, name string")
+    got = {r["id"]: r["f"] for r in df.select("id", text.folded(df["name"]).alias("f")).collect()}
+    assert got == {1: 'AcmeTM "Tools" Ltd', 2: "Abc / x", 3: None, 4: "plain text", 5: "1 1/2..."}
+    staged = {r["id"]: r["n"] for r in text.with_normal_name(df, "name", "n").collect()}
+    assert staged[1] == "acmetm tools" and staged[3] == text.UNKNOWN
+
+
+def test_replacements_win_over_suffixes():
+    from linkspark.functions import text
+
+    words, suffixes = text.without_overlap({"co": "company"}, ["inc", "co", "company"])
+    assert words == {"co": "company"} and suffixes == ["inc", "company"]
+
+
+def test_run_parameters():
+    from linkspark.operators import contexts
+
+    runs = contexts.run_parameters(6, state=7)
+    assert [r["seed"] for r in runs] == [7 + 104729 * i for i in range(6)] and [r["view"] for r in runs] == ["local"] * 3 + ["global"] * 3
+    assert all(r["min_dist"] <= r["spread"] for r in runs) and runs == contexts.run_parameters(6, state=7)
+    assert max(r["neighbours"] for r in runs[:3]) <= 25 <= min(r["neighbours"] for r in runs[3:])
+    assert contexts.sub_range(0, 10, 0.2, 0.5) == (2, 5)
+    low, high = contexts.sub_range(0.01, 1, 0.5, 1, log=True)
+    assert abs(low - 0.1) < 1e-6 and abs(high - 1) < 1e-6

@@ -93,3 +93,47 @@ def test_split_at_threshold(spark):
     rows = [(1, 1, "100", "a st", "1", "k1"), (2, 1, "130", "a st", "1", "k2"), (3, 2, "100", "a st", "1", "k1"), (4, 2, "131", "a st", "1", "k3")]
     df = spark.createDataFrame(rows, "record_id long, cluster long, street_number string, street_name string, zip string, address_key string")
     assert pairs(resolve.split_ranges(df)) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_components_large_and_together(spark):
+    import random
+
+    from linkspark.operators import graph
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(0, k) for k in range(300, 330)] + [(k, k + 1) for k in range(500, 560)] + [(900, 900), (None, 3), (5, None)]
+    root = {v: v for e in edges for v in e if v is not None and None not in e}
+    for _ in root:
+        for a, b in edges:
+            if a in root and b in root and None not in (a, b):
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for together in (1 << 20, 0):
+        assert {r["vertex"]: r["component_id"] for r in graph.components(df, together=together).collect()} == root
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_similar_pairs_against_all(spark):
+    from linkspark.operators import similarity
+
+    names = spark.createDataFrame([(i, x) for i, x in enumerate("acme tools|acme tool|acme toolz inc|beta freight|beta freights|gamma|gama|acme|tools acme".split("|"))], "id long, name string")
+    w = similarity.tfidf(similarity.grams(names, "id", "name"), names.count()).cache()
+    rows = {}
+    for r in w.collect():
+        rows.setdefault(r["id"], {})[r["gram"]] = r["weight"]
+    for least in (0.2, 0.5, 0.8):
+        want = {(a, b) for a in rows for b in rows if a < b and sum(x * rows[b].get(g, 0) for g, x in rows[a].items()) > least}
+        assert {(r["a"], r["b"]) for r in similarity.similar_pairs(w, least).collect()} == want
+
+
+def test_shared_neighbour_clusters(spark):
+    import numpy as np
+
+    from linkspark.operators import cluster
+
+    rng = np.random.default_rng(2)
+    rows = [(k * 12 + i, (5 * np.eye(8)[k] + rng.normal(size=8) * 0.2).tolist()) for k in range(3) for i in range(12)]
+    got = {r["id"]: r["cluster"] for r in cluster.shared_neighbour_clusters(spark.createDataFrame(rows, "vec_id long, v array<double>"), k=5).collect()}
+    groups = [{got[k * 12 + i] for i in range(12)} - {-1} for k in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    assert sum(c == -1 for c in got.values()) <= 3  # between communities that are merged after noise is attached
