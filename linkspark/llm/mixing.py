@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column,
     seen = {(r["domain"], r["b"]): r["n"] for r in words.groupBy("domain", _bucket(F.col("word")).alias("b")).agg(F.count("*").alias("n")).collect()}
     sizes = {r["domain"]: r["n"] for r in train.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
-    share = [[math.log((seen.get((d, b), 0) + 1) / (sum(n for (x, _), n in seen.items() if x == d) + HASHES)) for b in range(HASHES)] for d in domains]
+    words_of = {d: HASHES + sum(n for (x, _), n in seen.items() if x == d) for d in domains}
+    share = [[math.log((seen.get((d, b), 0) + 1) / words_of[d]) for b in range(HASHES)] for d in domains]
     less = lambda table: [[x - y for x, y in zip(row, table[0])] for row in table]
     tables: dict[str, list[list[float]]] = {}
     binned = train.select("domain", *[c.alias(n) for n, c in _bins(F.col("text")).items()]).groupBy("domain", "marks", "capitals").agg(F.count("*").alias("n")).collect()
