@@ -210,7 +210,7 @@ def score(docs: DataFrame, held_out: F.Column, order: int = ORDER, masses: tuple
                 out.append((None if i == NULL_ID else i, h, t, s, b, m))
         return pa.Table.from_batches([C.batch(schema, out)])
 
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("grp")).applyInArrow(finish, schema)
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("grp")).applyInArrow(common.lean(finish), schema)
     return scored.select("doc_id", (F.col("held_out") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

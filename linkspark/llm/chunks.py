@@ -48,7 +48,7 @@ def chunked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[x.split()[0] for x in CHUNKS.split(", ")])
             made += 1
 
-    return materialize(rows.mapInArrow(run, CHUNKS))
+    return materialize(rows.mapInArrow(common.lean(run), CHUNKS))
 
 
 def serialize(batch: pa.RecordBatch, carried: int) -> bytes:

@@ -6,7 +6,9 @@ below 0x80, so splitting UTF-8 bytes and splitting code points agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step inside a Python worker handles at once (a longer text is one step).
 STEP_BYTES = 6 << 20
+#: Bytes of a group after which a Python worker gives free memory back.
+GROUP_BYTES = 1 << 20
 
 
 _shipped: set[str] = set()
@@ -51,6 +55,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return memory that is free in this process to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """`run`, for mapInArrow or applyInArrow, giving free memory back when it is done.
+
+    Python workers live on from task to task, and allocators keep what a task freed: without
+    this each worker holds the most that any stage before needed, besides the JVM's memory.
+    Groups of less than GROUP_BYTES aren't worth the call.
+    """
+    if inspect.isgeneratorfunction(run):
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return task
+
+    def group(*tables: pa.Table) -> pa.Table:
+        try:
+            return run(*tables)
+        finally:
+            if sum(x.nbytes for x in tables) >= GROUP_BYTES:
+                give_back()
+
+    if len(inspect.signature(run).parameters) == 1:
+        return lambda table: group(table)
+    return lambda left, right: group(left, right)
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of the column as text, modulo mod (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

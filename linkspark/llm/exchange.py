@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import chunks as C
+from linkspark.llm import common
 from linkspark.operators.storage import materialize
 
 FAN = 256
@@ -131,17 +132,17 @@ def totals(
         return pa.Table.from_batches([C.batch(ANSWERS, [(kind, x["child"], rng, C.pack_numbers(told[a:b]), 0, 0) for x, a, b in zip(rows, begins[:-1], begins[1:])])])
 
     node = ["kind", "grp", "rng"]
-    sent = [chunks.mapInArrow(send, SENT)]
+    sent = [chunks.mapInArrow(common.lean(send), SENT)]
     for level in range(1, len(groups)):
         sent[-1] = materialize(sent[-1])
-        sent.append(sent[-1].groupBy(*node).applyInArrow(forward(level), SENT))
-    found = sent[-1].groupBy(*node).applyInArrow(top, ANSWERS)
+        sent.append(sent[-1].groupBy(*node).applyInArrow(common.lean(forward(level)), SENT))
+    found = sent[-1].groupBy(*node).applyInArrow(common.lean(top), ANSWERS)
     if sums_too or len(groups) > 1:
         found = materialize(found)
     sums = found.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("different").alias("different")) if sums_too else None
     for level in range(len(groups) - 2, -1, -1):
         above = found.select("kind", "grp", F.floor(F.col("rng") / fan).cast("long").alias("node"), "rng", "vals")
-        found = sent[level].groupBy(*node).cogroup(above.groupBy("kind", "grp", "node")).applyInArrow(back, ANSWERS)
+        found = sent[level].groupBy(*node).cogroup(above.groupBy("kind", "grp", "node")).applyInArrow(common.lean(back), ANSWERS)
     return (found, sums) if sums_too else found
 
 

@@ -452,7 +452,7 @@ def extract(pages: DataFrame, html_column: str = "html", carry: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([batch.column("_carried"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["_carried", "text", "n_chars"])
 
     inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
-    out = rows.mapInArrow(run, f"_carried struct<{inner}>, text string, n_chars long")
+    out = rows.mapInArrow(common.lean(run), f"_carried struct<{inner}>, text string, n_chars long")
     return out.select(*[F.col(f"_carried.`{c}`").alias(c) for c in carry], "text", "n_chars")
 
 

@@ -193,7 +193,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
                 cols = [*(part.column(c).take(again) for c in ("label", "id", "size")), code.take(again)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(k, dtype=np.int32), part.num_rows)), pa.array(own.reshape(-1))], names=["label", "id", "size", "code", "t", "key"])
 
-    keyed = materialize(classes.select("label", "id", "size", "v").mapInArrow(key_rows, f"label {kind}, id long, size long, code binary, t int, key long"))
+    keyed = materialize(classes.select("label", "id", "size", "v").mapInArrow(common.lean(key_rows), f"label {kind}, id long, size long, code binary, t int, key long"))
     met = keyed.join(keyed.groupBy("label", "t", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["label", "t", "key"])
     met = met.withColumn("shards", F.ceil(F.col("n") / shard).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", "t"), F.col("shards")).cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
@@ -264,9 +264,9 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
             tree = forest(i, j)
             yield pa.RecordBatch.from_arrays([pa.array(i[tree]), pa.array(np.zeros(int(tree.sum()), np.int64)), pa.array(j[tree])], names=["id", "n", "to"])
 
-    live = together(dealt).mapInArrow(by_place(near), carried)
+    live = together(dealt).mapInArrow(common.lean(by_place(near)), carried)
     reranked = together(live.join(classes.select("id", "v"), "id"))
-    found = materialize(reranked.mapInArrow(by_place(verify), "id long, n long, to long"))
+    found = materialize(reranked.mapInArrow(common.lean(by_place(verify)), "id long, n long, to long"))
     counts = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("others"))
     roots = graph.components(found.filter("to is not null").select(F.col("id").alias("src"), F.col("to").alias("dst")))
     named = classes.drop("v").join(counts, "id", "left").join(roots, classes["id"] == roots["vertex"], "left").withColumn("root", F.coalesce("component_id", "id"))

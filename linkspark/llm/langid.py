@@ -129,7 +129,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int =
             sets = [grams(x).tobytes() for x in folded(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("lang"), batch.column("r"), pa.array(sets, pa.binary())], names=["id", "lang", "r", "grams"])
 
-    got = used.mapInArrow(run, "id string, lang string, r int, grams binary").collect()
+    got = used.mapInArrow(common.lean(run), "id string, lang string, r int, grams binary").collect()
     got = sorted(got, key=lambda x: (x.lang, x.r, x.id, bytes(x.grams)))
     return solve([np.frombuffer(x.grams, np.uint32) for x in got], [x.lang for x in got], [x.r <= landmarks for x in got], ridge)
 
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([batch.column("_carried"), pc.if_else(none, "und", pa.array(languages, pa.string())), pc.if_else(none, 0.0, pa.array(score))], names=["_carried", "lang_pred", "score"])
 
     inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
-    out = rows.mapInArrow(run, f"_carried struct<{inner}>, lang_pred string, score double")
+    out = rows.mapInArrow(common.lean(run), f"_carried struct<{inner}>, lang_pred string, score double")
     return out.select(*[F.col(f"_carried.`{c}`").alias(c) for c in carry], "lang_pred", "score")
 
 

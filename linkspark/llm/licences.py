@@ -272,7 +272,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample: i
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(findings, kind)], names=["id", "n_paragraphs", "findings"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_paragraphs long, findings array<struct<paragraph: long, family: string, probability: double, similarity: double, confirmed: boolean, text: string>>").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(common.lean(run), f"id {kind}, n_paragraphs long, findings array<struct<paragraph: long, family: string, probability: double, similarity: double, confirmed: boolean, text: string>>").withColumnRenamed("id", id_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,7 +237,7 @@ def pack(
             yield stream.solve(True)
 
     two = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return two.mapInArrow(run, PIECES)
+    return two.mapInArrow(common.lean(run), PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

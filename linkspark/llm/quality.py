@@ -161,7 +161,7 @@ def assess(docs: DataFrame, vocabulary: str, bands: dict = BANDS, carry: tuple[s
             yield pa.RecordBatch.from_arrays(columns, names=["_carried", *[x.split()[0] for x in MEASURES.split(", ")]])
 
     inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
-    out = rows.mapInArrow(run, f"_carried struct<{inner}>, {MEASURES}")
+    out = rows.mapInArrow(common.lean(run), f"_carried struct<{inner}>, {MEASURES}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(bands))
     return out.select(*[F.col(f"_carried.`{c}`").alias(c) for c in carry], *[x.split()[0] for x in MEASURES.split(", ")], "base_failed", "kept")

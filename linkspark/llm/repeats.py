@@ -373,14 +373,14 @@ def find(chunks: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = H
 
     node, told = ["kind", "grp", "rng"], "kind int, grp long, rng long, starts binary"
     shared = exchange.totals(chunks, lists, {0: bits}, tell, fan)
-    sent = [chunks.groupBy("chunk").cogroup(shared.groupBy("grp")).applyInArrow(send, AROUND)]
+    sent = [chunks.groupBy("chunk").cogroup(shared.groupBy("grp")).applyInArrow(common.lean(send), AROUND)]
     for level in range(1, len(groups)):
         sent[-1] = materialize(sent[-1])
-        sent.append(sent[-1].groupBy(*node).applyInArrow(forward(level), AROUND))
-    found = sent[-1].groupBy(*node).applyInArrow(judge(len(groups) == 1), told)
+        sent.append(sent[-1].groupBy(*node).applyInArrow(common.lean(forward(level)), AROUND))
+    found = sent[-1].groupBy(*node).applyInArrow(common.lean(judge(len(groups) == 1)), told)
     for level in range(len(groups) - 2, -1, -1):
         above = materialize(found).withColumn("node", F.floor(F.col("rng") / fan).cast("long"))
-        found = sent[level].groupBy(*node).cogroup(above.groupBy("kind", "grp", "node")).applyInArrow(back(level == 0), told)
+        found = sent[level].groupBy(*node).cogroup(above.groupBy("kind", "grp", "node")).applyInArrow(common.lean(back(level == 0)), told)
     return found.select(F.col("grp").alias("chunk"), "starts")
 
 
@@ -412,7 +412,7 @@ def digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: s
         return pa.Table.from_batches([C.batch(schema, out)])
 
     found = find(chunks, length, seed, hot, fan)
-    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(common.lean(finish), schema)
 
 
 def strip(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -446,7 +446,7 @@ def strip(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_column: st
 
     inner = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     found = find(chunks, length, seed)
-    done = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, f"{inner}, _left string")
+    done = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(common.lean(finish), f"{inner}, _left string")
     return done.select(*[F.col("_left").alias(c) if c == text_column else F.col(number[c]).alias(c) for c in names])
 
 

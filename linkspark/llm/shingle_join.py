@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFr
                 good.append(under * common_ >= over * (small + large - common_))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(common.lean(run), "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -206,7 +206,7 @@ def in_blocks(members: DataFrame, sets: DataFrame, over: int, under: int, block:
         tree = forest(ids[i], ids[j])
         return pa.table({"a": pa.array(ids[i[tree]], pa.int64()), "b": pa.array(ids[j[tree]], pa.int64())})
 
-    return own.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
+    return own.groupBy("cluster", "low", "high").applyInArrow(common.lean(compare), "a long, b long")
 
 
 def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, part: int = PART, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = C.CHUNK_BYTES, fan: int = exchange.FAN) -> DataFrame:
@@ -250,7 +250,7 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
         return pa.Table.from_batches([C.batch(schema, out)])
 
     answers = exchange.totals(chunks, lists, {0: bits}, kind_of, fan)
-    rows = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("grp")).applyInArrow(index, schema))
+    rows = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("grp")).applyInArrow(common.lean(index), schema))
 
     some = rows.filter("n > 0 and id is not null")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
@@ -267,7 +267,7 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
             again = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("rep").take(pa.array(again))], names=["key", "id"])
 
-    keyed = heads.select("rep", "keys").mapInArrow(spread, "key long, id long").distinct()
+    keyed = heads.select("rep", "keys").mapInArrow(common.lean(spread), "key long, id long").distinct()
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
     keyed = materialize(keyed.join(shared, "key", "left_semi"))
     used = keyed.select("id").distinct()

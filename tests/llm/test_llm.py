@@ -564,3 +564,30 @@ def test_pipeline(spark, docs, tmp_path):
         if k < 4:
             assert now.columns == docs.columns
     assert now.count() > 0
+
+
+def test_lean_keeps_results_and_kinds_of_functions(spark, monkeypatch):
+    monkeypatch.setattr(common, "GROUP_BYTES", 0)
+
+    def rows(batches):
+        yield from batches
+
+    def own(table):
+        return table
+
+    def both(left, right):
+        return left
+
+    table = spark.createDataFrame([(1, "a"), (2, None), (2, "")], "id long, text string")
+    expected = sorted(map(str, table.collect()))
+    kind = "id long, text string"
+    for out in (table.mapInArrow(common.lean(rows), kind), table.groupBy("id").applyInArrow(common.lean(own), kind), table.groupBy("id").cogroup(table.groupBy("id")).applyInArrow(common.lean(both), kind)):
+        assert sorted(map(str, out.collect())) == expected
+    assert table.limit(0).mapInArrow(common.lean(rows), kind).count() == 0
+
+    def failing(batches):
+        raise ValueError("told")
+        yield
+
+    with pytest.raises(ValueError, match="told"):
+        list(common.lean(failing)(iter([])))
