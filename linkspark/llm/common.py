@@ -164,7 +164,8 @@ def gather(lists_starts: np.ndarray, values: np.ndarray, picked: np.ndarray) ->
     """Concatenate the lists picked by index; returns (values, starts of each picked list and the end)."""
     lengths = (lists_starts[1:] - lists_starts[:-1])[picked]
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    where = np.repeat(lists_starts[picked] - starts[:-1], lengths) + np.arange(starts[-1])
+    where = np.repeat(lists_starts[picked] - starts[:-1], lengths)
+    where += np.arange(starts[-1])
     return values[where], starts
 
 

@@ -36,6 +36,8 @@ from linkspark.llm import bpe, common
 
 WINDOW = 4096
 END_ID = 2
+#: Text bytes that are encoded at once: working arrays take some thirty times as much.
+STEP_BYTES = 3 << 20
 STOPS, CLOSERS = [ord(x) for x in ".!?"], [ord(x) for x in "\"')]"]
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -228,7 +230,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(vocabulary)
         stream = Stream(TaskContext.get().partitionId(), window, sentence_cost, inner_cost, window_cost, max_unit)
-        for batch in common.steps(batches, "text", 10 << 20):
+        for batch in common.steps(batches, "text", STEP_BYTES):
             for doc_id, (ids, last) in zip(batch.column("doc_id").to_pylist(), whole(tokenizer, batch.column("text"))):
                 stream.add(doc_id, ids, last, end_id)
                 if stream.size >= block_tokens:
