@@ -20,7 +20,9 @@ cluster with few pairs is compared pair by pair.  One with many (of near copies
 not all near each other) is compared by matrix products of blocks: the members outside its
 largest component with each other and with that component's members, which needn't be compared
 among themselves; blocks return a spanning forest of the links.  No link between different texts is missed.
-Pairs are verified with the whole sets.
+Pairs are verified with the whole sets.  Pairs and blocks are compared in turns that carry about
+`CARRIED` times as many sets as there are, and tables go as soon as what follows is written, so
+that disk holds a bounded share of the corpus however many pairs there are.
 
 A shingle's identity is a 64-bit hash of its words.
 
@@ -33,7 +35,8 @@ empty table gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ from linkspark.llm import chunks as C
 from linkspark.llm import common, exchange
 from linkspark.llm.graph import forest
 from linkspark.operators import graph
-from linkspark.operators.storage import materialize
+from linkspark.operators.storage import drop, materialize, settle
 
 WIDTH = 4
 THRESHOLD = (85, 100)
@@ -56,6 +59,8 @@ OPEN, SETTLED = 1 << 16, 0.25
 #: Sets that a task compares with as many others.
 BLOCK = 256
 STEP = 4 << 20
+#: Rows of a turn that carry sets: so many for each set, or so many if that is more.
+CARRIED, CARRIED_LEAST = 2, 1 << 18
 MARGIN = 1  # see exchange.key_bits; chance equals only make a single token rare
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NULL_ID = np.iinfo(np.int64).max
@@ -146,8 +151,22 @@ def intersect(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def in_turns(rows: DataFrame, by: tuple[str, ...], sets: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What compare returns for rows that each carry a set or two, written; rows equal in `by` come together."""
+    rows = materialize(rows)
+    turns = max(1, math.ceil(rows.count() / max(CARRIED * sets.count(), CARRIED_LEAST)))
+    turn = F.pmod(F.xxhash64(*by), F.lit(turns))
+    done = [materialize(compare(rows.filter(turn == t) if turns > 1 else rows)) for t in range(turns)]
+    drop(rows)
+    return reduce(DataFrame.union, done)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
+    return in_turns(pairs, ("a", "b"), sets, lambda some: compared(some, sets, over, under))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -194,7 +213,7 @@ def in_blocks(members: DataFrame, sets: DataFrame, over: int, under: int, block:
     here = F.when(F.col("outside") == 1, F.pmod(F.xxhash64("id"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inners"))).cast("int")
     last = F.when(F.col("outside") == 1, F.col("outer") + F.col("inners")).otherwise(F.col("outer"))  # inner shards only meet outer ones
     own = rows.withColumn("own", here).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
-    own = own.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id").join(sets, "id").select("cluster", "low", "high", "id", "tokens")
+    own = own.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("id").combine_chunks())
@@ -206,11 +225,19 @@ def in_blocks(members: DataFrame, sets: DataFrame, over: int, under: int, block:
         tree = forest(ids[i], ids[j])
         return pa.table({"a": pa.array(ids[i[tree]], pa.int64()), "b": pa.array(ids[j[tree]], pa.int64())})
 
-    return own.groupBy("cluster", "low", "high").applyInArrow(common.lean(compare), "a long, b long")
+    def blocks(some: DataFrame) -> DataFrame:
+        whole = some.join(sets, "id").select("cluster", "low", "high", "id", "tokens")
+        return whole.groupBy("cluster", "low", "high").applyInArrow(common.lean(compare), "a long, b long")
+
+    return in_turns(own, ("cluster", "low", "high"), sets, blocks)
 
 
 def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, frequent: int = FREQUENT, part: int = PART, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = C.CHUNK_BYTES, fan: int = exchange.FAN) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row.  threshold: a fraction (over, under)."""
+    """(doc_id, n_shingles, component_id) of each row, written.  threshold: a fraction (over, under)."""
+    return settle(docs.sparkSession, lambda: _link(docs, width, threshold, frequent, part, id_column, text_column, chunk_bytes, fan))
+
+
+def _link(docs: DataFrame, width: int, threshold: tuple[int, int], frequent: int, part: int, id_column: str, text_column: str, chunk_bytes: int, fan: int) -> DataFrame:
     over, under = threshold
     chunks = C.chunked(docs, id_column, text_column, chunk_bytes=chunk_bytes)
     bits = exchange.key_bits(chunks.agg(F.sum("n_bytes")).first()[0] or 0, MARGIN)
@@ -250,12 +277,14 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
         return pa.Table.from_batches([C.batch(schema, out)])
 
     answers = exchange.totals(chunks, lists, {0: bits}, kind_of, fan)
-    rows = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("grp")).applyInArrow(common.lean(index), schema))
+    indexed = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("grp")).applyInArrow(common.lean(index), schema))
+    drop(chunks)
+    rows = materialize(indexed.drop("keys", "tokens"))
 
     some = rows.filter("n > 0 and id is not null")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     classes = materialize(classes)
-    heads = some.filter("keys is not null").join(classes, ["n", "s1", "s2"])
+    heads = indexed.filter("keys is not null").join(classes, ["n", "s1", "s2"])
     sets = heads.groupBy(F.col("rep").alias("id"), "n", "s1", "s2").agg(F.first("tokens").alias("tokens")).select("id", "tokens")  # several of an id whose texts differ
     again = some.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
     again = some.join(again, "id", "left_semi").join(classes, ["n", "s1", "s2"])
@@ -272,6 +301,7 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     keyed = materialize(keyed.join(shared, "key", "left_semi"))
     used = keyed.select("id").distinct()
     sets = materialize(sets.join(used, "id", "left_semi"))
+    drop(indexed)
 
     def cross(comp: DataFrame) -> DataFrame:
         """Keys and ids that still lie in several components, with the component."""
@@ -297,7 +327,9 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     while True:
         found = verified(led(open_, F.xxhash64("id", F.lit(k))), sets, over, under)
         add(found if k else found.union(tied))
-        open_, k, before = materialize(cross(comp)), k + 1, left
+        still = materialize(cross(comp))
+        drop(open_)
+        open_, k, before = still, k + 1, left
         left = open_.count()
         if k >= STARS and (left < OPEN or before is not None and left > (1 - SETTLED) * before):
             break
@@ -314,6 +346,7 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRES
     left = sparse.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
     pairs = sparse.join(left, "key").filter("ca <> comp and a < id").select("a", F.col("id").alias("b")).distinct()
     add(verified(pairs, sets, over, under).union(in_blocks(dense, sets, over, under, BLOCK)))
+    drop(keyed, sets, open_)
     whole = classes.join(comp, classes["rep"] == comp["id"], "left").select("n", "s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
     out = some.join(whole, ["n", "s1", "s2"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.filter("n = 0 or id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

@@ -3,15 +3,18 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkspark.llm import backoff, common, html_text, itq, langid, licences, mixing, packing, quality, repeats, shingle_join, suffix_array
+from linkspark.operators import storage
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -591,3 +594,69 @@ def test_lean_keeps_results_and_kinds_of_functions(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="told"):
         list(common.lean(failing)(iter([])))
+
+
+def files_below(spark):
+    """Files of tables in the shared folder."""
+    top = storage.shared_dir(spark).removeprefix("file://")
+    return {os.path.join(d, f) for d, _, names in os.walk(top) for f in names if f.endswith(".parquet")}
+
+
+def shuffled(spark):
+    """Shuffle files with anything in them."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f for f in files if f.endswith(".data") and os.path.exists(f)}
+
+
+def settled_shuffles(spark, before):
+    """New shuffle files that are still there after the removals under way."""
+    for _ in range(40):
+        if not shuffled(spark) - before:
+            break
+        time.sleep(0.25)
+    return shuffled(spark) - before
+
+
+def test_writing_leaves_no_shuffle_files(spark):
+    before, switch = shuffled(spark), spark.conf.get(storage.CLEANUP, None)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = storage.materialize(rows)
+    assert not settled_shuffles(spark, before)
+    assert out.agg(F.sum("count")).first()[0] == 1000 and out.count() == 7
+    assert spark.conf.get(storage.CLEANUP, None) == switch
+
+
+def test_settle_and_drop(spark):
+    before = files_below(spark)
+
+    def make():
+        one, two = storage.materialize(spark.range(5)), storage.materialize(spark.range(5, 8))
+        both = storage.materialize(one.union(two))
+        storage.drop(one, two, spark.range(3))
+        assert both.count() == 8
+        return both.filter("id > 1")
+
+    with storage.scratch(spark):
+        out = storage.settle(spark, make)
+        assert sorted(r["id"] for r in out.collect()) == [2, 3, 4, 5, 6, 7]
+        kept = {os.path.dirname(f) for f in files_below(spark) - before}
+        assert len(kept) == 1  # the result alone
+    assert files_below(spark) == before
+
+
+def test_shingle_join_leaves_its_result_alone(spark, docs):
+    before = files_below(spark)
+    out = shingle_join.link(docs)
+    assert out.count() == docs.count()
+    assert len({os.path.dirname(f) for f in files_below(spark) - before}) == 1
+
+
+def test_shingle_join_in_turns(spark, docs, monkeypatch):
+    written, write = [], storage.materialize
+    monkeypatch.setattr(shingle_join, "materialize", lambda df: written.append(df.columns) or write(df))
+    expected = sorted(map(str, shingle_join.link(docs, frequent=2).collect()))
+    once = written.count(["a", "b"])
+    monkeypatch.setattr(shingle_join, "CARRIED", 0)
+    monkeypatch.setattr(shingle_join, "CARRIED_LEAST", 10)
+    assert sorted(map(str, shingle_join.link(docs, frequent=2).collect())) == expected
+    assert written.count(["a", "b"]) - once > once  # some comparison took several turns
