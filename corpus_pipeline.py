@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the least id; rows without an id stay."""
     common.tune(spark)
     linked = shingle_join.link(docs, SHINGLE_WORDS, SIMILARITY)
-    extra = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    extra = storage.materialize(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())  # so that its size is known, and documents aren't shuffled for a few ids
     return docs.join(extra, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -660,3 +660,12 @@ def test_shingle_join_in_turns(spark, docs, monkeypatch):
     monkeypatch.setattr(shingle_join, "CARRIED_LEAST", 10)
     assert sorted(map(str, shingle_join.link(docs, frequent=2).collect())) == expected
     assert written.count(["a", "b"]) - once > once  # some comparison took several turns
+
+
+def test_near_duplicates_are_known_by_few_ids(spark, docs):
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    linked = shingle_join.link(docs, corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILARITY)
+    gone = {r["doc_id"] for r in linked.collect() if r["doc_id"] != r["component_id"]}
+    assert gone and {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in docs.collect()} - gone
+    plan = left._jdf.queryExecution().sparkPlan().toString()  # the ids are a table by now
+    assert "HashAggregate" not in plan and plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
