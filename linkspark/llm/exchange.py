@@ -8,12 +8,17 @@ where ``fan`` such groups meet, and so on until one group is left.  Its nodes kn
 totals; the answers go back the same way.  So with n chunks there are at most
 n * fan rows for each of the log(n) / log(fan) levels, and no task holds more than about a
 chunk's keys, however frequent a key is: it goes to a node once from each sender.
+
+With one level, what chunks send is shuffled once and gone when the answers are written.  With
+more, it is written, and its ranges go through the tree in up to ``SLICES`` turns, so that of
+shuffled keys no more than one turn's are on disk at a time.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +27,11 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import chunks as C
 from linkspark.llm import common
-from linkspark.operators.storage import materialize
+from linkspark.operators.storage import drop, materialize
 
 FAN = 256
+#: Turns, at most, in which a tree of several levels is gone through; chunks for each turn at least.
+SLICES, SLICED = 8, 32
 #: kind: which of a chunk's lists of keys; grp, rng: the node; child: who sends; keys, values: packed.
 SENT = "kind int, grp long, rng long, child long, keys binary, vals binary"
 ANSWERS = "kind int, grp long, rng long, vals binary, total long, different long"
@@ -89,7 +96,7 @@ def totals(
     answer: what to tell (numbers from 0) for a kind's totals.  total and different are, over
     the first rows of all nodes, the sum of the totals and the number of keys with any;
     with sums_too, the result is (these rows, the sums of each kind), taken from the top of the tree.
-    `known` puts a chunk's answers together.  No chunks give no rows.
+    The answers are written.  `known` puts a chunk's answers together.  No chunks give no rows.
     """
     assert fan & (fan - 1) == 0
     groups = groups_of(chunks, fan)
@@ -132,18 +139,33 @@ def totals(
         return pa.Table.from_batches([C.batch(ANSWERS, [(kind, x["child"], rng, C.pack_numbers(told[a:b]), 0, 0) for x, a, b in zip(rows, begins[:-1], begins[1:])])])
 
     node = ["kind", "grp", "rng"]
-    sent = [chunks.mapInArrow(common.lean(send), SENT)]
-    for level in range(1, len(groups)):
-        sent[-1] = materialize(sent[-1])
-        sent.append(sent[-1].groupBy(*node).applyInArrow(common.lean(forward(level)), SENT))
-    found = sent[-1].groupBy(*node).applyInArrow(common.lean(top), ANSWERS)
-    if sums_too or len(groups) > 1:
-        found = materialize(found)
-    sums = found.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("different").alias("different")) if sums_too else None
-    for level in range(len(groups) - 2, -1, -1):
-        above = found.select("kind", "grp", F.floor(F.col("rng") / fan).cast("long").alias("node"), "rng", "vals")
-        found = sent[level].groupBy(*node).cogroup(above.groupBy("kind", "grp", "node")).applyInArrow(common.lean(back), ANSWERS)
-    return (found, sums) if sums_too else found
+    first = chunks.mapInArrow(common.lean(send), SENT)
+
+    def through(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(answers to what chunks sent, the sums of each kind), written."""
+        sent = [first]
+        for level in range(1, len(groups)):
+            rows = sent[-1].groupBy(*node).applyInArrow(common.lean(forward(level)), SENT)
+            sent.append(materialize(rows))
+        found = materialize(sent[-1].groupBy(*node).applyInArrow(common.lean(top), ANSWERS))
+        sums = found.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("different").alias("different"))
+        sums = materialize(sums) if sums_too else sums
+        drop(*sent[-1:] if len(sent) > 1 else [])
+        for level in range(len(groups) - 2, -1, -1):
+            above = found.select("kind", "grp", F.floor(F.col("rng") / fan).cast("long").alias("node"), "rng", "vals")
+            told = materialize(sent[level].groupBy(*node).cogroup(above.groupBy("kind", "grp", "node")).applyInArrow(common.lean(back), ANSWERS))
+            drop(found, *[sent[level]] if level else [])
+            found = told
+        return found, sums
+
+    if len(groups) == 1:
+        found, sums = through(first)
+        return (found, sums) if sums_too else found
+    first, turns = materialize(first), max(1, min(SLICES, fan, groups[0] * fan // SLICED))
+    done = [through(first.filter(F.floor(F.col("rng") * turns / fan) == turn)) for turn in range(turns)]
+    drop(first)
+    found, sums = (reduce(DataFrame.union, x) for x in zip(*done))
+    return (found, sums.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("different").alias("different"))) if sums_too else found
 
 
 def known(rows: list[dict], kind: int) -> np.ndarray:

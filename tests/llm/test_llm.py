@@ -9,11 +9,12 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkspark.llm import backoff, common, html_text, itq, langid, licences, mixing, packing, quality, repeats, shingle_join, suffix_array
+from linkspark.llm import backoff, common, exchange, html_text, itq, langid, licences, mixing, packing, quality, repeats, shingle_join, suffix_array
 from linkspark.operators import storage
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -669,3 +670,23 @@ def test_near_duplicates_are_known_by_few_ids(spark, docs):
     assert gone and {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in docs.collect()} - gone
     plan = left._jdf.queryExecution().sparkPlan().toString()  # the ids are a table by now
     assert "HashAggregate" not in plan and plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("fan", [256, 8, 2])
+def test_totals_leave_answers_alone(spark, monkeypatch, fan):
+    monkeypatch.setattr(exchange, "SLICED", 2)
+    files = files_below(spark)
+    chunks = spark.range(12).select(F.col("id").alias("chunk"))
+
+    def lists(row):
+        keys = np.arange(row["chunk"], 40, dtype=np.uint64) << np.uint64(57)
+        yield 1, keys, np.ones(len(keys), np.int64)
+
+    found, sums = exchange.totals(chunks, lists, {1: 64}, lambda _, totals: totals, fan, sums_too=True)
+    assert tuple(sums.select("total", "different").first()) == (sum(40 - c for c in range(12)), 40)
+    for c in range(12):
+        rows = [r.asDict() for r in found.filter(F.col("grp") == c).collect()]
+        assert exchange.known(rows, 1).tolist() == [min(k, 11) + 1 for k in range(c, 40)]
+    assert {r["kind"] for r in found.select("kind").distinct().collect()} == {1}
+    kinds = {tuple(pq.read_schema(f).names) for f in files_below(spark) - files}
+    assert kinds <= {tuple(x.split()[0] for x in exchange.ANSWERS.split(", ")), ("kind", "total", "different")}
