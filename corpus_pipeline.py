@@ -16,15 +16,21 @@ from linkspark.operators import storage
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 
 
+def ready(spark: SparkSession) -> None:
+    """Ready a session for a stage, whose executors begin without the memory that stages before took."""
+    common.tune(spark)
+    common.give_back_heap(spark)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    common.tune(spark)
+    ready(spark)
     return quality.filter_kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id; rows without an id stay."""
-    common.tune(spark)
+    ready(spark)
     linked = shingle_join.link(docs, SHINGLE_WORDS, SIMILARITY)
     extra = storage.materialize(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())  # so that its size is known, and documents aren't shuffled for a few ids
     return docs.join(extra, F.col("doc_id") == F.col("_gone"), "left_anti")
@@ -32,19 +38,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that an earlier document has."""
-    common.tune(spark)
+    ready(spark)
     left = repeats.strip(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights ask."""
+    ready(spark)
     return mixing.apply(docs, common.table(spark, sf_dir, "labels"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences."""
-    common.tune(spark)
+    ready(spark)
     return packing.digest(docs)
 
 

@@ -92,6 +92,17 @@ def lean(run: Callable) -> Callable:
     return lambda left, right: group(left, right)
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Return memory that is free in the executors' JVMs to the system.
+
+    A JVM keeps the heap that an earlier stage needed, free or not, besides the memory of
+    its Python workers; a full collection shrinks it.  One short task for each core, so that
+    idle executors all get some; collections asked for at the same time are done once.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of the column as text, modulo mod (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

@@ -1,6 +1,7 @@
 """The operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import gc
 import hashlib
 import math
 import os
@@ -570,6 +571,19 @@ def test_pipeline(spark, docs, tmp_path):
     assert now.count() > 0
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality_rules, corpus_pipeline.pack_sequences])
+def test_stages_begin_without_the_heap_of_those_before(spark, docs, stage):
+    heap = spark._jvm.java.lang.Runtime.getRuntime()  # of the executor too, as the master is local
+    held = [spark._jvm.java.nio.ByteBuffer.allocate(50 << 20) for _ in range(8)]
+    before = heap.totalMemory()
+    assert before > 400 << 20
+    del held
+    gc.collect()  # so that the JVM may free them, which alone shrinks nothing
+    time.sleep(1)
+    stage(spark, docs, "")
+    assert heap.totalMemory() < before - (100 << 20)
+
+
 def test_lean_keeps_results_and_kinds_of_functions(spark, monkeypatch):
     monkeypatch.setattr(common, "GROUP_BYTES", 0)
 
