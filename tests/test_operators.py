@@ -137,3 +137,49 @@ def test_shared_neighbour_clusters(spark):
     groups = [{got[k * 12 + i] for i in range(12)} - {-1} for k in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
     assert sum(c == -1 for c in got.values()) <= 3  # between communities that are merged after noise is attached
+
+
+def unit_rows(n, dim, seed):
+    v = np.random.default_rng(seed).normal(size=(n, dim)) + 1
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_each_pair_of_shards_is_multiplied_once(spark):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit_rows(90, 6, 4).repeat(2, 0)[:120].round(1))], "vec_id long, v array<double>")
+    dealt = similarity.tiles(df, F.col("vec_id") % 3, 3)
+    assert dealt.count() == 360 and dealt.filter("i > j").count() == 0  # with every pair of shards in both orders it was 720
+    want = pairs(similarity.neighbours(df, 4, shards=1).select("src", "rank", "dst"))
+    assert want == pairs(similarity.neighbours(df, 4, shards=5).select("src", "rank", "dst")) and len(want) == 480
+
+
+def test_spanning_forest_in_rounds_and_in_one_task(spark):
+    rng = np.random.default_rng(5)
+    edges = sorted({tuple(sorted(e)) for e in rng.integers(0, 60, (150, 2)).tolist() if e[0] != e[1]})
+    rows = [(a, b, float(rng.integers(0, 5))) for a, b in edges]
+    root, want = {v: v for e in edges for v in e}, []
+    for a, b, d in sorted(rows, key=lambda e: (e[2], e[0], e[1])):
+        if root[a] != root[b]:
+            want.append((a, b, d))
+            root = {v: root[a] if r == root[b] else r for v, r in root.items()}
+    df = spark.createDataFrame(rows, "src long, dst long, distance double")
+    for together in (0, 40, 1 << 20):
+        assert pairs(cluster.spanning_forest(df, together=together)) == sorted(want)
+
+
+def test_merge_similar_against_all_members(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "PART", 3)  # members of a cluster in several shards
+    rng = np.random.default_rng(6)
+    v = np.concatenate([c + rng.normal(size=(n, 5)) * s for c, n, s in ((np.eye(5)[0] * 3, 8, 0.5), (np.eye(5)[0] * 3, 7, 0.7), (np.eye(5)[1] * 3, 6, 0.4), (np.eye(5)[1] * 3 + 1, 5, 0.4), (np.eye(5)[2], 2, 0.01), (np.eye(5)[2], 1, 0.01))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.repeat([10, 11, 12, 13, 14, 15], [8, 7, 6, 5, 2, 1])
+    df = spark.createDataFrame([(i, int(c), x.tolist()) for i, (c, x) in enumerate(zip(label, v))], "id long, cluster int, v array<double>")
+    for median in (0.7, 0.84, 0.9, 0.95):
+        root = {int(c): int(c) for c in label}
+        for a in root:
+            for b in root:
+                s = np.round(v[label == a] @ v[label == b].T, 9)
+                ca, cb = v[label == a].mean(0), v[label == b].mean(0)
+                if a < b and ca @ cb / np.linalg.norm(ca) / np.linalg.norm(cb) > 0.75 and np.median(s) >= median and s.max() >= 0.9:
+                    low, high = sorted((root[a], root[b]))
+                    root = {k: low if r == high else r for k, r in root.items()}
+        assert dict(pairs(cluster.merge_similar(df, median=median))) == root
